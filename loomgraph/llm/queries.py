@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import secret_scan, url_filter
+from . import line_dedup, secret_scan, url_filter
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.query,
     "op7_url_filters": url_filter.query,
     "op9_secret_scans": secret_scan.query,
 }
 SQL = {
+    "op2_line_dedup": line_dedup.SQL,
     "op7_url_filters": url_filter.SQL,
 }
