@@ -167,7 +167,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     keys = blocks.select("doc_id", "text", "__block").mapInArrow(_block_keys(BLOCKS_PER_PARTITION * p), KEY_ROW)
     answers = keys.groupBy("shard").applyInArrow(_answers, "block int, h1 bigint, h2 bigint, keep_doc bigint")
     out = T.StructType([*plain.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    schema = to_arrow_schema(out, timezone="UTC") if any(isinstance(f.dataType, T.TimestampType) for f in out) else to_arrow_schema(out)
+    schema = to_arrow_schema(out)
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.Table.from_batches(drop_lines(left, right, schema), schema=schema)
