@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, line_dedup, secret_scan, url_filter
+from . import chat_format, decontaminate, line_dedup, secret_scan, simhash, top_k, url_filter
 
 QUERIES = {
     "op2_line_dedup": line_dedup.query,
     "op3_benchmark_decontamination": decontaminate.query,
+    "op4_exact_top_k": top_k.query,
     "op5_chat_formatting": chat_format.query,
     "op7_url_filters": url_filter.query,
     "op9_secret_scans": secret_scan.query,
+    "op10_simhash_near_dedup": simhash.query,
 }
 SQL = {
     "op2_line_dedup": line_dedup.SQL,
     "op3_benchmark_decontamination": decontaminate.SQL,
+    "op4_exact_top_k": top_k.SQL,
     "op5_chat_formatting": chat_format.SQL,
     "op7_url_filters": url_filter.SQL,
 }
