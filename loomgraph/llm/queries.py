@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, line_dedup, secret_scan, simhash, top_k, url_filter
+from . import chat_format, decontaminate, line_dedup, secret_scan, sentencepiece_codec, simhash, top_k, toxicity, url_filter
 
 QUERIES = {
     "op2_line_dedup": line_dedup.query,
     "op3_benchmark_decontamination": decontaminate.query,
     "op4_exact_top_k": top_k.query,
     "op5_chat_formatting": chat_format.query,
+    "op6_toxicity": toxicity.query,
     "op7_url_filters": url_filter.query,
+    "op8_sentencepiece": sentencepiece_codec.query,
     "op9_secret_scans": secret_scan.query,
     "op10_simhash_near_dedup": simhash.query,
 }
