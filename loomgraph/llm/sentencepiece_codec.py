@@ -154,7 +154,7 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 #: Cells of a table (units x positions) that one step of the Viterbi may hold.
-CELLS = 1 << 21
+CELLS = 1 << 18
 
 
 def encode_texts(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +229,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     schema = to_arrow_schema(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text", CHUNK_BYTES // 2):
+        for b in chunks(batches, "text", CHUNK_BYTES // 4):
             ids, offsets = encode_texts(b.column("text"), lexicon)
             made = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([made.cast(f.type) if f.name == "ids" else b.column(f.name).cast(f.type) for f in schema], schema=schema)
@@ -247,8 +247,8 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
                 lists = part.column("ids")
                 size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 ids = pc.fill_null(pc.list_flatten(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
