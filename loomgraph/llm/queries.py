@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, line_dedup, secret_scan, sentencepiece_codec, simhash, top_k, toxicity, url_filter
+from . import chat_format, decontaminate, line_dedup, lm_scoring, secret_scan, sentencepiece_codec, simhash, top_k, toxicity, url_filter
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.query,
     "op2_line_dedup": line_dedup.query,
     "op3_benchmark_decontamination": decontaminate.query,
     "op4_exact_top_k": top_k.query,
