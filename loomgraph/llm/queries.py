@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat_format, decontaminate, line_dedup, lm_scoring, secret_scan, sentencepiece_codec, simhash, top_k, toxicity, url_filter
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece_codec.query,
     "op9_secret_scans": secret_scan.query,
     "op10_simhash_near_dedup": simhash.query,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op2_line_dedup": line_dedup.SQL,

@@ -77,7 +77,8 @@ def majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(texts: pa.Array, width: int = SHINGLE) -> np.ndarray:
+def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(XXH64 of all shingles, n + 1 offsets): width words joined by spaces, all of fewer; a text without words has none."""
     data, offsets = text_buffer(texts)
     low = LOWER_BYTES[data]
     starts, ends = runs(~IS_SPACE[low], offsets)
@@ -88,14 +89,17 @@ def fingerprints(texts: pa.Array, width: int = SHINGLE) -> np.ndarray:
     inside = np.ones(at[-1], dtype=bool)
     inside[at[1:] - 1] = False
     plain[inside] = low[~IS_SPACE[low]]
-    owner = np.searchsorted(offsets, starts, side="right") - 1
-    first = np.searchsorted(owner, np.arange(len(offsets)))
+    first = np.searchsorted(starts, offsets)
     words = np.diff(first)
     shingles = np.where(words >= width, words - width + 1, np.minimum(words, 1))
     group = np.concatenate([[0], np.cumsum(shingles)])
     word = np.arange(group[-1]) - np.repeat(group[:-1] - first[:-1], shingles)
     last = np.minimum(word + width, np.repeat(first[1:], shingles))
-    return majority(xxh64(plain, at[word], at[last] - 1, SEED), group)
+    return xxh64(plain, at[word], at[last] - 1, SEED), group
+
+
+def fingerprints(texts: pa.Array, width: int = SHINGLE) -> np.ndarray:
+    return majority(*shingle_hashes(texts, width))
 
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
