@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float
     words = sorted({r["word"] for r in known.select("word").collect()} | set(swaps()))
     place = {w: i for i, w in enumerate(words)}
     places = "toxic int, variant int, origin bigint, places array<int>"
-    x = rows.mapInArrow(_places(place), places).toPandas()  # at most sample * (1 + SHIFTS) rows of places in the vocabulary
+    x = rows.mapInArrow(_places(place), places).toArrow().to_pandas()  # at most sample * (1 + SHIFTS) rows of places in the vocabulary
     ids = {(o, v): p for o, v, p in zip(x["origin"], x["variant"], x["places"])}
     label = dict(zip(zip(x["origin"], x["variant"]), x["toxic"]))
     base = sorted(k for k in ids if k[1] == 0)
