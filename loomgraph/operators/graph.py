@@ -32,6 +32,10 @@ class Graph:
         """Each node and each edge once."""
         return Graph(self.nodes.select(*NODE).dropDuplicates(), self.edges.select(*EDGE).dropDuplicates())
 
+    def persist(self) -> Graph:
+        """Kept for several uses; what is lost is computed again."""
+        return Graph(self.nodes.persist(), self.edges.persist())
+
     def merge(self, other: Graph) -> Graph:
         return Graph(self.nodes.select(*NODE).unionByName(other.nodes.select(*NODE)), self.edges.select(*EDGE).unionByName(other.edges.select(*EDGE))).dedup()
 

@@ -127,7 +127,7 @@ on_scans("patch_orphan_edges_dropped", _orphans, "SELECT * FROM e1 UNION SELECT
 
 def _cascade(a: Graph, b: Graph) -> DataFrame:
     none = a.edges.where("false")
-    gone = a.nodes.where("kind = 'Part' AND CAST(id1 AS BIGINT) % 7 = 0")
+    gone = a.nodes.where("kind = 'Part' AND try_cast(id1 AS BIGINT) % 7 = 0")
     return apply_patch(a, Patch(a.nodes.where("false"), gone, none, none)).edges
 
 

@@ -49,4 +49,5 @@ def star_graph(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None
 def two_scans(spark: SparkSession, sf_dir: str) -> tuple[Graph, Graph]:
     """The graph of orders before 1999, and that of orders from 1998 on."""
     orders = table(spark, sf_dir, "orders")
-    return star_graph(spark, sf_dir, orders.where("o_orderdate < TIMESTAMP_NTZ '1999-01-01'")), star_graph(spark, sf_dir, orders.where("o_orderdate >= TIMESTAMP_NTZ '1998-01-01'"))
+    old, new = (star_graph(spark, sf_dir, orders.where(w)) for w in ("o_orderdate < TIMESTAMP_NTZ '1999-01-01'", "o_orderdate >= TIMESTAMP_NTZ '1998-01-01'"))
+    return old.persist(), new.persist()
