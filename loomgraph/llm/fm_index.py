@@ -78,7 +78,7 @@ class FMIndex:
     """Counts and places of patterns in `symbols` (1 or more; 0 parts texts and never occurs in a pattern)."""
 
     def __init__(self, symbols: np.ndarray):
-        text = np.concatenate([symbols, [0]]).astype(np.int64)
+        text = np.concatenate([np.asarray(symbols) + 1, [0]]).astype(np.int64)  # an end that occurs once: no two rotations are alike
         self.n = len(text)
         order = suffix_order(text)
         last = text[order - 1]
@@ -95,7 +95,7 @@ class FMIndex:
         for back in range(1, int(lengths.max(initial=0)) + 1):
             alive = alive[(lengths[alive] >= back) & (low[alive] < high[alive])]
             now = alive
-            symbol = patterns[now, lengths[now] - back].astype(np.int64)
+            symbol = patterns[now, lengths[now] - back].astype(np.int64) + 1
             known = symbol <= self.top
             low[now[~known]] = high[now[~known]] = 0
             now, symbol = now[known], symbol[known]
