@@ -11,9 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Arrow's own pools keep what they once took; the system's gives it back, which long-lived workers need.
+pa.set_memory_pool(pa.system_memory_pool())
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 SPACES = " \t\n\x0b\x0c\r"
 
 #: byte -> byte with A-Z lower-cased
