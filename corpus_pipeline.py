@@ -29,9 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go from all documents but one; documents of which nothing but white space is left go."""
-    out = line_dedup.dedup_lines(docs)
-    return _with_text(out.where("n_dropped = 0 OR trim(text) <> ''"), docs.columns)
+    """Repeated lines go from all documents but one. All documents stay, those of which nothing is left as empty texts."""
+    return _with_text(line_dedup.dedup_lines(docs), docs.columns)
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,8 +55,8 @@ def _confirm(least: float):
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs (doc_id, text, any other columns) but for near copies of a row with a smaller id.
 
-    Of rows with one id those with the same text count as copies and one stays; rows with a null id stay, as do rows with
-    a null or empty text, which no shingle says to be alike. An empty table gives an empty result.
+    Of rows with one id those with the same text count as copies and one stays; rows with a null id stay. Texts without
+    words (null, empty or white space) are copies of each other. An empty table gives an empty result.
     """
     plain = docs.withColumn("__text", F.sha2(F.coalesce("text", F.lit("")), 256))
     fit = plain.where("doc_id IS NOT NULL AND trim(text) <> ''")
@@ -77,5 +77,6 @@ def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, similarity: float =
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("doc_id"))
     keep = cut(smallest.select("doc_id"))
     kept = fit.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "__text"])
-    rest = plain.where("doc_id IS NULL OR text IS NULL OR trim(text) = ''")
-    return kept.unionByName(rest).drop("__text")
+    bare = plain.where("doc_id IS NOT NULL AND (text IS NULL OR trim(text) = '')")
+    one = bare.join(bare.agg(F.min("doc_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(one).unionByName(plain.where("doc_id IS NULL")).drop("__text")

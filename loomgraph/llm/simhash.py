@@ -156,7 +156,8 @@ def _bucket_links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64)] * 3
         for b in batches:
-            now = [np.concatenate([r, b.column(c).to_numpy(zero_copy_only=False)]) for r, c in zip(rest, ("mask", "key", "fp"))]
+            mask, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "fp"))
+            now = [np.concatenate([r, c]) for r, c in zip(rest, (mask, mask & fp, fp))]
             if not len(now[0]):
                 continue
             same = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
@@ -176,13 +177,14 @@ def near_links(classes: DataFrame, radius: int = RADIUS, limit: int = LIMIT) ->
     masks = list(covering_masks(radius))
     found = None
     rows = classes.select("fp", F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("mask"))
+    key = F.col("mask").bitwiseAND(F.col("fp"))  # told by the other two, so it does not travel
     while True:
-        rows = rows.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
-        big = cut(rows.groupBy("mask", "key").count().where(F.col("count") > limit).select("mask", "key"))
+        keyed = rows.select("mask", key.alias("key"), "fp")
+        big = cut(keyed.groupBy("mask", "key").count().where(F.col("count") > limit).select("mask", "key"))
         masks = [m for m in masks if m != EVERY_BIT]
         crowded = not big.isEmpty() and bool(masks)
-        small = rows.join(big, ["mask", "key"], "left_anti") if crowded else rows
-        dealt = small.repartition(partitions(spark), "mask", "key").sortWithinPartitions("mask", "key", "fp")
+        small = keyed.join(big, ["mask", "key"], "left_anti").select("mask", "fp") if crowded else rows.select("mask", "fp")
+        dealt = small.repartition(partitions(spark), F.col("mask"), key).sortWithinPartitions(F.col("mask"), key, F.col("fp"))
         part = dealt.mapInArrow(_bucket_links(radius), "u bigint, v bigint")
         found = part if found is None else found.unionByName(part)
         if not crowded:
@@ -190,7 +192,7 @@ def near_links(classes: DataFrame, radius: int = RADIUS, limit: int = LIMIT) ->
         finer = {m: finer_masks(m, radius) for m in masks}
         masks = sorted({x for xs in finer.values() for x in xs})
         steps = spark.createDataFrame([(signed(m), signed(x)) for m, xs in finer.items() for x in xs], "mask bigint, finer bigint")  # radius + 1 rows for each mask there is
-        rows = cut(rows.join(big, ["mask", "key"], "left_semi").join(steps, "mask").select("fp", F.col("finer").alias("mask")).distinct())
+        rows = cut(keyed.join(big, ["mask", "key"], "left_semi").join(steps, "mask").select("fp", F.col("finer").alias("mask")).distinct())
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
