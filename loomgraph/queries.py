@@ -239,9 +239,9 @@ def route_by_type(spark: SparkSession, sf: str) -> DataFrame:
     return union(routes).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("users"))
 
 
-@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS place, round(embedding[i], 5) AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS place, round(CAST(embedding[i] AS DOUBLE), 5) + CAST(0 AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def unnest_hoist(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("place", "v")).select("vec_id", "place", F.round("v", 5).alias("v"))
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("place", "v")).select("vec_id", "place", (F.round(F.col("v").cast("double"), 5) + F.lit(0.0)).alias("v"))
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 3")
@@ -267,10 +267,10 @@ def part_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PLACED = "p AS (SELECT p_partkey AS id, (p_partkey * 3 % 101) + p_partkey / 1000 AS x, p_size + p_partkey / 500 AS y, CAST(p_size % 5 + 1 AS DOUBLE) AS mass FROM part WHERE p_partkey < 200), pe AS (SELECT p_partkey AS source, p_partkey * 7 % 200 AS target FROM part WHERE p_partkey < 200)"
-rounded = lambda df, *c: df.select("id", *(F.round(x, 6).alias(x) for x in c))
+rounded = lambda df, *c: df.select("id", *((F.round(x, 6) + F.lit(0.0)).alias(x) for x in c))  # noqa: E731  no negative zeros
 
 
-@query(f"WITH {PLACED} SELECT round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM p")
+@query(f"WITH {PLACED} SELECT round(avg(x), 6) + CAST(0 AS DOUBLE) AS x, round(avg(y), 6) + CAST(0 AS DOUBLE) AS y FROM p")
 def centroid(spark: SparkSession, sf: str) -> DataFrame:
     return L.centroid(placed(spark, sf)).select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
@@ -280,22 +280,22 @@ def bbox(spark: SparkSession, sf: str) -> DataFrame:
     return L.bounding_box(placed(spark, sf)).select(*(F.round(c, 6).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")))
 
 
-@query("SELECT p_partkey AS id, round(10 * sqrt(p_partkey) * cos(2.3999632 * p_partkey), 6) AS x, round(10 * sqrt(p_partkey) * sin(2.3999632 * p_partkey), 6) AS y FROM part WHERE p_partkey < 200")
+@query("SELECT p_partkey AS id, round(10 * sqrt(p_partkey) * cos(2.3999632 * p_partkey), 6) + CAST(0 AS DOUBLE) AS x, round(10 * sqrt(p_partkey) * sin(2.3999632 * p_partkey), 6) + CAST(0 AS DOUBLE) AS y FROM part WHERE p_partkey < 200")
 def initial_spiral(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(L.initial_positions(table(spark, sf, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("id"))), "x", "y")
 
 
-@query(f"WITH {PLACED} SELECT a.id, round(sum(2 * a.mass * b.mass / ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) * (a.x - b.x)), 6) AS fx, round(sum(2 * a.mass * b.mass / ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) * (a.y - b.y)), 6) AS fy FROM p a JOIN p b ON a.id <> b.id GROUP BY a.id")
+@query(f"WITH {PLACED} SELECT a.id, round(sum(2 * a.mass * b.mass / ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) * (a.x - b.x)), 6) + CAST(0 AS DOUBLE) AS fx, round(sum(2 * a.mass * b.mass / ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) * (a.y - b.y)), 6) + CAST(0 AS DOUBLE) AS fy FROM p a JOIN p b ON a.id <> b.id GROUP BY a.id")
 def repulsion_exact(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(L.repulsion_exact(placed(spark, sf)), "fx", "fy")
 
 
-@query(f"WITH {PLACED}, d AS (SELECT source, target, b.x - a.x AS dx, b.y - a.y AS dy FROM pe JOIN p a ON a.id = source JOIN p b ON b.id = target) SELECT id, round(sum(dx), 6) AS fx, round(sum(dy), 6) AS fy FROM (SELECT source AS id, dx, dy FROM d UNION ALL SELECT target, -dx, -dy FROM d) GROUP BY id")
+@query(f"WITH {PLACED}, d AS (SELECT source, target, b.x - a.x AS dx, b.y - a.y AS dy FROM pe JOIN p a ON a.id = source JOIN p b ON b.id = target) SELECT id, round(sum(dx), 6) + CAST(0 AS DOUBLE) AS fx, round(sum(dy), 6) + CAST(0 AS DOUBLE) AS fy FROM (SELECT source AS id, dx, dy FROM d UNION ALL SELECT target, -dx, -dy FROM d) GROUP BY id")
 def attraction(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(L.attraction(placed(spark, sf), part_edges(spark, sf)), "fx", "fy")
 
 
-@query(f"WITH {PLACED} SELECT id, round(-mass * x / sqrt(x * x + y * y), 6) AS fx, round(-mass * y / sqrt(x * x + y * y), 6) AS fy FROM p WHERE x * x + y * y > 0")
+@query(f"WITH {PLACED} SELECT id, round(-mass * x / sqrt(x * x + y * y), 6) + CAST(0 AS DOUBLE) AS fx, round(-mass * y / sqrt(x * x + y * y), 6) + CAST(0 AS DOUBLE) AS fy FROM p WHERE x * x + y * y > 0")
 def gravity(spark: SparkSession, sf: str) -> DataFrame:
     away = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
     return rounded(placed(spark, sf).where(away > 0).select("id", (-F.col("mass") * F.col("x") / away).alias("fx"), (-F.col("mass") * F.col("y") / away).alias("fy")), "fx", "fy")
