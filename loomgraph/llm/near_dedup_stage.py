@@ -2,8 +2,9 @@
 
 Documents that are alike throughout are one class. Classes within RADIUS differing bits of their SimHash fingerprints are
 candidates (255 covering tables guarantee each such pair); a candidate link is kept if the two texts share at least
-SIMILARITY of their distinct WIDTH-word shingles (Jaccard). Links chosen are those of shortest spanning forests, so that a
-group of copies of any size gives fewer candidates than it has classes. Components keep their smallest document id.
+SIMILARITY of their distinct WIDTH-word shingles (Jaccard). The first candidates are those of shortest spanning forests, so
+that a group of copies of any size gives fewer of them than it has classes; pairs that the forests left out are then compared
+too, but for those that confirmed links join already. Components keep their smallest document id.
 
 Scale: shingle sets travel only for classes with a candidate link, as sorted 64-bit hashes, and links between them are
 compared in a join whose keys are classes; nothing is gathered.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, cut
 from .components import connected_components
-from .simhash import _fingerprint_rows, near_links, shingle_hashes
+from .simhash import _fingerprint_rows, fingerprints, near_links, shingle_hashes
 
 RADIUS, WIDTH, SIMILARITY = 7, 5, 0.8
 
@@ -29,7 +30,7 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in chunks(batches, "text"):
         h, group = shingle_hashes(b.column("text"), WIDTH)
         sets = [np.unique(h[x:y]).tobytes() for x, y in zip(group[:-1], group[1:])]
-        yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(sets, pa.binary())], names=["fp", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(fingerprints(b.column("text")).view(np.int64)), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -52,6 +53,58 @@ def _confirm(least: float):
     return run
 
 
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (u, v: nodes) whose texts are alike enough."""
+    ends = cut(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct())
+    wanted = nodes.join(ends, "node", "left_semi").select("doc_id").distinct()
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text")
+    sets = cut(texts.mapInArrow(_shingle_sets, "node bigint, shingles binary").join(ends, "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
+    return cut(both.select("u", "v", "su", "sv").mapInArrow(_confirm(similarity), "u bigint, v bigint"))
+
+
+def _labelled(nodes: DataFrame, sure: DataFrame) -> DataFrame:
+    labels = connected_components(sure)
+    return cut(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def near_components(nodes: DataFrame, docs: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """nodes (node, fp, doc_id) with label: components of all pairs within radius bits and of the similarity.
+
+    Thin links are confirmed first. Pairs that they left out and whose ends are not joined by then are all compared.
+    """
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    found = cut(near_links(heads.select("fp"), radius, kind="open").distinct())
+    near = cut(_ordered(found.where("u <> v")))
+    at = lambda name: heads.select(F.col("fp").alias(name), F.col("head").alias(f"head_{name}"))
+    thin = near.join(at("u"), "u").join(at("v"), "v").select(F.col("head_u").alias("u"), F.col("head_v").alias("v"))
+    stars = nodes.join(heads, "fp").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    sure = _confirmed(cut(thin.unionByName(stars)), nodes, docs, similarity)
+    labelled = _labelled(nodes, sure)
+    classes = cut(labelled.groupBy("fp").agg(F.min("label").alias("label"), (F.min("label") == F.max("label")).alias("one"), (F.count(F.lit(1)) > 1).alias("several")))
+    opened = found.where("u = v").select(F.col("u").alias("fp"))
+    several = classes.where("several").select("fp")
+    rest = near_links(cut(classes.join(opened, "fp", "left_semi")), radius, kind="apart")
+    for end in ("u", "v"):
+        rest = rest.unionByName(near.join(several.withColumnRenamed("fp", end), end, "left_semi").select("u", "v"))
+    rest = rest.unionByName(classes.where("NOT one").select(F.col("fp").alias("u"), F.col("fp").alias("v")))
+    side = lambda name: labelled.select(F.col("fp").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in SIDE))
+    pairs = cut(_ordered(rest).join(side("u"), "u").join(side("v"), "v").where(UNTOLD).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")))
+    if pairs.isEmpty():
+        return labelled
+    more = _confirmed(pairs, nodes, docs, similarity)
+    return labelled if more.isEmpty() else _labelled(nodes, sure.unionByName(more))
+
+
+SIDE = ("node", "label")
+#: Of pairs of nodes: not joined yet, and one row for two nodes of one fingerprint.
+UNTOLD = "label_u <> label_v AND (u <> v OR node_u < node_v)"
+
+
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs (doc_id, text, any other columns) but for near copies of a row with a smaller id.
 
@@ -64,18 +117,10 @@ def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, similarity: float =
     # one row for each distinct text: the smallest id that has it
     first = fit.select("doc_id", "__text", "text").join(heads, ["__text", "doc_id"], "left_semi").dropDuplicates(["__text"])
     fps = cut(first.select("doc_id", "text").mapInArrow(_fingerprint_rows, "doc_id bigint, fp bigint"))
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
-    links = cut(near_links(classes, radius).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    ends = links.select(F.col("u").alias("fp")).union(links.select(F.col("v").alias("fp"))).distinct()
-    wanted = classes.join(ends, "fp", "left_semi")
-    texts = fit.select("doc_id", "text").join(wanted, "doc_id").groupBy("fp").agg(F.min("text").alias("text"))
-    sets = cut(texts.mapInArrow(_shingle_sets, "fp bigint, shingles binary"))
-    pairs = links.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("sv")), "v")
-    sure = pairs.select("u", "v", "su", "sv").mapInArrow(_confirm(similarity), "u bigint, v bigint")
-    labels = connected_components(sure).withColumnRenamed("node", "fp")
-    labelled = classes.join(labels, "fp", "left").select("fp", "doc_id", F.coalesce("label", "fp").alias("label"))
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.col("fp")))
+    labelled = near_components(nodes, fit, radius, similarity)
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("doc_id"))
-    keep = cut(smallest.select("doc_id"))
+    keep = cut(smallest.select("doc_id").distinct())
     kept = fit.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "__text"])
     bare = plain.where("doc_id IS NOT NULL AND (text IS NULL OR trim(text) = '')")
     one = bare.join(bare.agg(F.min("doc_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -113,9 +113,14 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def forest(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A shortest spanning forest of the pairs of x (a small bucket) within radius bits."""
+    return forest_and_open(x, radius)[:2]
+
+
+def forest_and_open(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """forest(x, radius), and those of x with further pairs."""
     n = len(x)
     done = np.zeros(n, dtype=bool)
-    dist, link = np.full(n, BITS + 1), np.full(n, -1)
+    dist, link, near = np.full(n, BITS + 1), np.full(n, -1), np.zeros(n, dtype=np.int64)
     left, right = [], []
     for _ in range(n):
         k = int(np.argmin(np.where(done, BITS + 2, dist)))
@@ -124,75 +129,116 @@ def forest(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             right.append(link[k])
         done[k] = True
         d = differing(x, x[k])
+        near[k] = (d <= radius).sum() - 1
         closer = (d < dist) & ~done
         dist[closer], link[closer] = d[closer], k
-    return x[np.array(left, int)], x[np.array(right, int)]
+    left, right = np.array(left, int), np.array(right, int)
+    taken = np.bincount(np.concatenate([left, right]), minlength=n)
+    return x[left], x[right], x[near > taken]
 
 
-def links(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the buckets (mask, key) of rows sorted by them."""
+def links(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links within the buckets (mask, key) of rows sorted by them, and those that have pairs which are no links."""
     new = np.ones(len(fp), dtype=bool)
     new[1:] = (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])
     begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, len(fp)))
     bucket = np.repeat(np.arange(len(begin)), size)
     few = size[bucket] <= FEW
-    left, right = [], []
+    left, right, opened = [], [], [np.zeros(0, np.int64)]
     for lag in range(1, FEW):
         i = np.flatnonzero(few[:-lag] & (bucket[:-lag] == bucket[lag:])) if len(fp) > lag else np.zeros(0, int)
         i = i[differing(fp[i], fp[i + lag]) <= radius]
         left.append(fp[i])
         right.append(fp[i + lag])
     for k in np.flatnonzero(size > FEW):
-        a, b = forest(np.unique(fp[begin[k] : begin[k] + size[k]]), radius)
+        a, b, c = forest_and_open(np.unique(fp[begin[k] : begin[k] + size[k]]), radius)
         left.append(a)
         right.append(b)
+        opened.append(c)
+    return np.concatenate(left), np.concatenate(right), np.unique(np.concatenate(opened))
+
+
+def apart(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, label: np.ndarray, one: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within radius bits in the buckets of rows sorted by them, but for those of one label (where one is true).
+
+    Of the tables in which a pair meets the first gives it; finer buckets than a table's give all pairs.
+    """
+    tables = np.array([signed(m) for m in covering_masks(radius)], dtype=np.int64)
+    new = np.ones(len(fp), dtype=bool)
+    new[1:] = (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])
+    begin = np.flatnonzero(new)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for b, e in zip(begin, np.append(begin[1:], len(fp))):
+        table_ = np.flatnonzero(tables == mask[b])
+        for k in range(b, e - 1):
+            rest = slice(k + 1, e)
+            other = fp[rest][(differing(fp[rest], fp[k]) <= radius) & ~((label[rest] == label[k]) & one[rest] & one[k])]
+            if len(table_) and len(other):
+                other = other[((tables[: table_[0], None] & (other ^ fp[k])) != 0).all(axis=0)]
+            left.append(np.full(len(other), fp[k]))
+            right.append(other)
     return np.concatenate(left), np.concatenate(right)
 
 
-def _bucket_links(radius: int):
+def _bucket_links(radius: int, kind: str):
     """Rows of a partition sorted by (mask, key); the last bucket of a batch waits for the next one."""
 
+    def found(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, *labels: np.ndarray) -> pa.RecordBatch:
+        if kind == "apart":
+            u, v = apart(mask, key, fp, *labels, radius)
+        else:
+            u, v, opened = links(mask, key, fp, radius)
+            if kind == "open":
+                u, v = np.concatenate([u, opened]), np.concatenate([v, opened])
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 3
+        rest = None
         for b in batches:
-            mask, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "fp"))
-            now = [np.concatenate([r, c]) for r, c in zip(rest, (mask, mask & fp, fp))]
+            mask, fp, *labels = (b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names)
+            now = [mask, mask & fp, fp, *labels]
+            now = now if rest is None else [np.concatenate([r, c]) for r, c in zip(rest, now)]
             if not len(now[0]):
                 continue
             same = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
             end = same[-1] + 1 if len(same) else 0
             rest = [c[end:] for c in now]
-            u, v = links(*(c[:end] for c in now), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-        u, v = links(*rest, radius)
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            yield found(*(c[:end] for c in now))
+        if rest is not None:
+            yield found(*rest)
 
     return run
 
 
-def near_links(classes: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
-    """u, v: links that join the same of the distinct fingerprints (fp) as all pairs within radius bits do."""
+def near_links(classes: DataFrame, radius: int = RADIUS, limit: int = LIMIT, kind: str = "thin") -> DataFrame:
+    """u, v: links that join the same of the distinct fingerprints (fp) as all pairs within radius bits do.
+
+    kind "open" adds a row with u = v for each fingerprint that has pairs within the radius which are not among the links.
+    kind "apart" gives all pairs but those of equal labels; classes then has label bigint and one boolean (whether label
+    holds for all of the class).
+    """
     spark = classes.sparkSession
     masks = list(covering_masks(radius))
     found = None
-    rows = classes.select("fp", F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("mask"))
+    also = ["label", "one"] if kind == "apart" else []
+    rows = classes.select("fp", *also, F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("mask"))
     key = F.col("mask").bitwiseAND(F.col("fp"))  # told by the other two, so it does not travel
     while True:
-        keyed = rows.select("mask", key.alias("key"), "fp")
+        keyed = rows.select("mask", key.alias("key"), "fp", *also)
         big = cut(keyed.groupBy("mask", "key").count().where(F.col("count") > limit).select("mask", "key"))
         masks = [m for m in masks if m != EVERY_BIT]
         crowded = not big.isEmpty() and bool(masks)
-        small = keyed.join(big, ["mask", "key"], "left_anti").select("mask", "fp") if crowded else rows.select("mask", "fp")
+        small = keyed.join(big, ["mask", "key"], "left_anti").select("mask", "fp", *also) if crowded else rows.select("mask", "fp", *also)
         dealt = small.repartition(partitions(spark), F.col("mask"), key).sortWithinPartitions(F.col("mask"), key, F.col("fp"))
-        part = dealt.mapInArrow(_bucket_links(radius), "u bigint, v bigint")
+        part = dealt.mapInArrow(_bucket_links(radius, kind), "u bigint, v bigint")
         found = part if found is None else found.unionByName(part)
         if not crowded:
             return found
         finer = {m: finer_masks(m, radius) for m in masks}
         masks = sorted({x for xs in finer.values() for x in xs})
         steps = spark.createDataFrame([(signed(m), signed(x)) for m, xs in finer.items() for x in xs], "mask bigint, finer bigint")  # radius + 1 rows for each mask there is
-        rows = cut(keyed.join(big, ["mask", "key"], "left_semi").join(steps, "mask").select("fp", F.col("finer").alias("mask")).distinct())
+        rows = cut(keyed.join(big, ["mask", "key"], "left_semi").join(steps, "mask").select("fp", *also, F.col("finer").alias("mask")).distinct())
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,36 @@ def test_near_copies_go(spark):
     assert sorted(repr(r["doc_id"]) for r in kept) == sorted(map(repr, [1, 9, None, 5]))
 
 
+def kept_by_all_pairs(rows):
+    """The ids that all pairs of rows leave: fingerprints within RADIUS bits and shingles of SIMILARITY are joined."""
+    texts = pa.array([t for _, t in rows])
+    fp = simhash.fingerprints(texts)
+    h, at = simhash.shingle_hashes(texts, near_dedup_stage.WIDTH)
+    sets = [set(h[a:b].tolist()) for a, b in zip(at[:-1], at[1:])]
+    label = [i for i, _ in rows]
+    for k in range(len(rows)):
+        for j in range(k):
+            if int(fp[k] ^ fp[j]).bit_count() <= near_dedup_stage.RADIUS and len(sets[k] & sets[j]) >= near_dedup_stage.SIMILARITY * len(sets[k] | sets[j]):
+                old, new = max(label[k], label[j]), min(label[k], label[j])
+                label = [new if x == old else x for x in label]
+    return sorted(set(label))
+
+
+def test_near_copies_of_large_groups_go_as_all_pairs_say(spark):
+    rng, rows = np.random.default_rng(3), []
+    for g in range(25):
+        base = [f"w{rng.integers(5000)}" for _ in range(120)]
+        for _ in range(60):
+            text = list(base)
+            for at in rng.integers(0, 120, rng.integers(1, 5)):
+                text[at] = f"e{rng.integers(5000)}"
+            rows.append((len(rows), " ".join(text)))
+    _, first = np.unique(simhash.fingerprints(pa.array([t for _, t in rows])), return_index=True)
+    rows = [rows[k] for k in np.sort(first)]  # one text for each fingerprint
+    got = near_dedup_stage.keep_one_of_each(spark.createDataFrame(rows, SHAPE)).collect()
+    assert sorted(r["doc_id"] for r in got) == kept_by_all_pairs(rows)
+
+
 def test_sentencepiece(spark, docs):
     out = sentencepiece_codec.decode(sentencepiece_codec.encode(docs)).collect()
     assert all(r["decoded"] == (r["text"] or "") for r in out) and len(out) == len(DOCS)
