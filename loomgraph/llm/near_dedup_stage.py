@@ -1,7 +1,7 @@
 """The near-duplicate stage: SimHash candidates by covering hashing, confirmed on word shingles.
 
-Documents that are alike throughout are one class. Classes within RADIUS differing bits of their SimHash fingerprints are
-candidates (255 covering tables guarantee each such pair); a candidate link is kept if the two texts share at least
+Documents of the same shingles and fingerprint are one class. Classes within RADIUS differing bits of their SimHash
+fingerprints, equal ones included, are candidates (255 covering tables guarantee each such pair); a candidate link is kept if the two texts share at least
 SIMILARITY of their distinct WIDTH-word shingles (Jaccard). The first candidates are those of shortest spanning forests, so
 that a group of copies of any size gives fewer of them than it has classes; pairs that the forests left out are then compared
 too, but for those that confirmed links join already. Components keep their smallest document id.
@@ -13,6 +13,7 @@ compared in a join whose keys are classes; nothing is gathered.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +22,31 @@ from pyspark.sql import functions as F
 
 from .common import chunks, cut
 from .components import connected_components
-from .simhash import _fingerprint_rows, fingerprints, near_links, shingle_hashes
+from .simhash import fingerprints, near_links, shingle_hashes
 
 RADIUS, WIDTH, SIMILARITY = 7, 5, 0.8
 
 
+def _node_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(nodes, fingerprints, sorted shingle sets): texts of one set and one fingerprint have one node."""
+    h, group = shingle_hashes(texts, WIDTH)
+    fp = fingerprints(texts)
+    sets = [np.unique(h[x:y]).tobytes() for x, y in zip(group[:-1], group[1:])]
+    digests = b"".join(blake2b(s, digest_size=8, key=f.tobytes()).digest() for s, f in zip(sets, fp))
+    return np.frombuffer(digests, np.int64), fp.view(np.int64), sets
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in chunks(batches, "text"):
+        node, fp, sets = _node_sets(b.column("text"))
+        size = np.array([len(s) // 8 for s in sets], np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(fp), pa.array(size), b.column("doc_id")], names=["node", "fp", "size", "doc_id"])
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in chunks(batches, "text"):
-        h, group = shingle_hashes(b.column("text"), WIDTH)
-        sets = [np.unique(h[x:y]).tobytes() for x, y in zip(group[:-1], group[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(fingerprints(b.column("text")).view(np.int64)), pa.array(sets, pa.binary())], names=["node", "shingles"])
+        node, _, sets = _node_sets(b.column("text"))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -73,7 +89,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def near_components(nodes: DataFrame, docs: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """nodes (node, fp, doc_id) with label: components of all pairs within radius bits and of the similarity.
+    """nodes (node, fp, size, doc_id) with label: components of all pairs within radius bits and of the similarity.
 
     Thin links are confirmed first. Pairs that they left out and whose ends are not joined by then are all compared.
     """
@@ -93,14 +109,15 @@ def near_components(nodes: DataFrame, docs: DataFrame, radius: int, similarity:
         rest = rest.unionByName(near.join(several.withColumnRenamed("fp", end), end, "left_semi").select("u", "v"))
     rest = rest.unionByName(classes.where("NOT one").select(F.col("fp").alias("u"), F.col("fp").alias("v")))
     side = lambda name: labelled.select(F.col("fp").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in SIDE))
-    pairs = cut(_ordered(rest).join(side("u"), "u").join(side("v"), "v").where(UNTOLD).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")))
+    near_size = F.least("size_u", "size_v") >= F.greatest("size_u", "size_v") * similarity - 1e-6  # or their Jaccard is less
+    pairs = cut(_ordered(rest).join(side("u"), "u").join(side("v"), "v").where(UNTOLD).where(near_size).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")))
     if pairs.isEmpty():
         return labelled
     more = _confirmed(pairs, nodes, docs, similarity)
     return labelled if more.isEmpty() else _labelled(nodes, sure.unionByName(more))
 
 
-SIDE = ("node", "label")
+SIDE = ("node", "size", "label")
 #: Of pairs of nodes: not joined yet, and one row for two nodes of one fingerprint.
 UNTOLD = "label_u <> label_v AND (u <> v OR node_u < node_v)"
 
@@ -116,8 +133,8 @@ def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, similarity: float =
     heads = fit.groupBy("__text").agg(F.min("doc_id").alias("doc_id"))
     # one row for each distinct text: the smallest id that has it
     first = fit.select("doc_id", "__text", "text").join(heads, ["__text", "doc_id"], "left_semi").dropDuplicates(["__text"])
-    fps = cut(first.select("doc_id", "text").mapInArrow(_fingerprint_rows, "doc_id bigint, fp bigint"))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.col("fp")))
+    each = first.select("doc_id", "text").mapInArrow(_nodes, "node bigint, fp bigint, size int, doc_id bigint")
+    nodes = cut(each.groupBy("node", "fp").agg(F.min("size").alias("size"), F.min("doc_id").alias("doc_id")))
     labelled = near_components(nodes, fit, radius, similarity)
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("doc_id"))
     keep = cut(smallest.select("doc_id").distinct())

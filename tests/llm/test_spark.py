@@ -166,6 +166,25 @@ def test_near_copies_of_large_groups_go_as_all_pairs_say(spark):
     assert sorted(r["doc_id"] for r in got) == kept_by_all_pairs(rows)
 
 
+def test_equal_fingerprints_are_only_candidates(spark):
+    rng = np.random.default_rng(4)
+    prose = lambda n: " ".join(f"p{rng.integers(9000)}" for _ in range(n))
+    rows = [(i, "the same line again " * 200 + prose(250)) for i in range(6)]  # the filler's shingles outnumber the prose's
+    rows = [(i, "hm " * 700 + prose(300)) for i in range(6, 12)] + rows
+    rows += [(100 + i, t.replace("hm ", "hm hm ", 1) + " x") for i, t in rows]
+    base = prose(150).split()
+    for i in range(200, 260):
+        text = list(base)
+        for at in rng.integers(0, 150, 4):
+            text[at] = f"e{rng.integers(9000)}"
+        rows.append((i, " ".join(text)))
+    fps = simhash.fingerprints(pa.array([t for _, t in rows]))
+    assert len(set(fps[:6].tolist())) == 1
+    got = near_dedup_stage.keep_one_of_each(spark.createDataFrame(rows, SHAPE)).collect()
+    assert sorted(r["doc_id"] for r in got) == kept_by_all_pairs(rows)
+    assert {6, 7, 8, 9, 10, 11} <= {r["doc_id"] for r in got}
+
+
 def test_sentencepiece(spark, docs):
     out = sentencepiece_codec.decode(sentencepiece_codec.encode(docs)).collect()
     assert all(r["decoded"] == (r["text"] or "") for r in out) and len(out) == len(DOCS)
