@@ -1,9 +1,8 @@
 """SentencePiece encoding and decoding by a batched numpy Viterbi.
 
 The pieces and scores of a model file are taken as a unigram lexicon: a text's pieces are those of the highest sum of
-scores (of equal ones, that whose last piece is the longest). No piece crosses a space mark other than runs of marks,
-which no best path takes, so texts fall to units that begin at a mark, and units are solved once per chunk. Units of
-equal length advance together: for each end and piece length, hashes of all their substrings probe the sorted keys of the
+scores (of equal ones, that whose last piece is the longest). Pieces have space marks at their beginning only or are runs
+of marks, so texts fall to units that begin at a run of marks, and units are solved once per chunk. Units of equal length advance together: for each end and piece length, hashes of all their substrings probe the sorted keys of the
 pieces of that length, and vectorised maxima store backpointers. Characters in no piece become byte pieces. A space mark
 in the text itself becomes byte pieces too, so that decoding restores every text exactly.
 
@@ -74,8 +73,7 @@ class Lexicon:
                 text.append(bytes([int(piece[3:5], 16)]))
                 continue
             text.append(b"" if special[i] else piece.replace(chr(MARK), " ").encode())
-            marks = piece.count(chr(MARK))
-            if special[i] or marks > 1 or marks == 1 and piece[0] != chr(MARK) or chr(NEWLINE) in piece:
+            if special[i] or chr(MARK) in piece.lstrip(chr(MARK)) or chr(NEWLINE) in piece:
                 continue
             codes = np.array([ord(c) for c in piece], dtype=np.uint32)
             key = int(prefix_sums(codes, powers)[-1])
@@ -171,6 +169,7 @@ def encode_texts(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndar
     codes = np.insert(codes, first[full], MARK)
     begins = first[full] + np.arange(len(full))
     new = (codes == MARK) | (codes == NEWLINE)
+    new[1:] &= (codes[1:] != MARK) | (codes[:-1] != MARK)
     new[1:] |= codes[:-1] == NEWLINE
     new[begins] = True
     starts = np.flatnonzero(new)

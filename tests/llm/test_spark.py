@@ -191,6 +191,22 @@ def test_sentencepiece(spark, docs):
     assert all(r["ids"] == [] for r in out if not r["text"]) and sentencepiece_codec.encode(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a b", "a  b", "a   b", "a    b", "  a", " a", "a ", " ", "   ", "a  ", "a   ", "x\n    ind", "x\n\n y", "x \n", "a  \n  b", *("a" + " " * n for n in (15, 16, 17, 31, 32, 40)), " " * 33 + "b"])
+def test_runs_of_spaces_are_those_of_sentencepiece(text):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(sentencepiece_codec.MODEL, "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1  # unigram
+    want = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString()).encode(text)
+    lexicon = sentencepiece_codec.Lexicon()
+    ids, offsets = sentencepiece_codec.encode_texts(pa.array(["z  ", text, text, " y"]), lexicon)
+    assert ids[offsets[1] : offsets[2]].tolist() == ids[offsets[2] : offsets[3]].tolist() == want
+    assert sentencepiece_codec.decode_ids(ids, offsets, lexicon).to_pylist() == ["z  ", text, text, " y"]
+
+
 def test_toxicity(spark):
     rows = [(i, f"w{i % 7} w{i % 5} " + ("awful" if i % 4 == 0 else "fine")) for i in range(80)] + [(None, "awful"), (500, None)]
     docs = spark.createDataFrame(rows, SHAPE)
