@@ -347,11 +347,14 @@ def stream_reconcile(spark: SparkSession, sf: str) -> DataFrame:
 
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
     folder = f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    events = table(spark, sf, "events").select(F.to_date("ts").alias("day"), "user_id", "event_type")
-    days = events.select("day").distinct().orderBy(F.desc("day")).limit(3)
-    rows = events.join(F.broadcast(days), "day").select(F.col("day").cast("string").alias("day"), "user_id", "event_type")
-    rows.repartition(1, "day").sortWithinPartitions("day").write.partitionBy("day").parquet(f"{folder}/in")
+    rows = table(spark, sf, "events").where("ts IS NOT NULL").select(F.to_date("ts").cast("string").alias("day"), "user_id", "event_type")
+    rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "day").write.partitionBy("day").parquet(f"{folder}/in")
     state = Reconciler(spark, f"{folder}/state")
+    fs, path = state._fs(f"{folder}/in")
+    days = sorted((d.getPath() for d in fs.listStatus(path) if d.isDirectory()), key=lambda p: p.getName())
+    for k, day in enumerate(days):  # a file each; they are taken in the order of their times
+        for file in fs.listStatus(day):
+            fs.setTimes(file.getPath(), 1_000_000_000_000 + 1000 * k, -1)
     stream = spark.readStream.schema("user_id bigint, event_type string, day string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
     def scan(df: DataFrame, batch_id: int) -> Graph:

@@ -70,3 +70,21 @@ def test_stream(spark, tmp_path):
     empty = Graph(*state._nothing())
     assert diff(state.replay(empty, 0), newest).is_empty() and diff(state.replay(newest, state.versions()[-1]), newest).is_empty()
     assert state.log().where(F.col("op") == "remove").count() > 0 and len(state.versions()) == 3
+
+
+def test_stream_query_takes_all_days(spark, tmp_path, monkeypatch):
+    from loomgraph import queries
+
+    rows = [(day, user, kind) for day in range(1, 13) for user, kind in ((day % 4, "a"), (day, "b"))]
+    events = spark.createDataFrame([(f"2024-01-{d:02} 10:00:00", u, k) for d, u, k in rows], "ts string, user_id bigint, event_type string")
+    events.withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+    tick = Reconciler.tick
+
+    def watched(self, scan, version):
+        seen.append(sorted((r["src_id1"], r["dst_id1"]) for r in scan.edges.collect()))
+        return tick(self, scan, version)
+
+    monkeypatch.setattr(Reconciler, "tick", watched)
+    last = sorted((r["user_id"], r["event_type"]) for r in queries.stream_reconcile(spark, str(tmp_path)).collect())
+    assert seen == [sorted((str(u), k) for d, u, k in rows if d == day) for day in range(1, 13)] and last == seen[-1]
