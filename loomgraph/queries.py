@@ -310,20 +310,72 @@ def swing_totals(spark: SparkSession, sf: str) -> DataFrame:
     return f.agg(F.round(F.sum(F.col("mass") * length(-1)), 5).alias("swing"), F.round(F.sum(F.col("mass") * length(1) / 2), 5).alias("traction"))
 
 
+# layout on all parts; those above have the filter of their SQL
+
+
+def all_placed(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 3 % 101 + F.col("p_partkey") / 1000).alias("x"), (F.col("p_size") + F.col("p_partkey") / 500).alias("y"), (F.col("p_size") % 5 + 1).cast("double").alias("mass"))
+
+
+def all_part_edges(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("source"), (F.col("p_partkey") * 7 % F.lit(max(1, p.count()))).alias("target"))
+
+
+ALL_PLACED = "p AS (SELECT p_partkey AS id, (p_partkey * 3 % 101) + p_partkey / 1000 AS x, p_size + p_partkey / 500 AS y, CAST(p_size % 5 + 1 AS DOUBLE) AS mass FROM part), pe AS (SELECT p_partkey AS source, p_partkey * 7 % (SELECT count(*) FROM part) AS target FROM part)"
+
+
+def _pulled(spark: SparkSession, sf: str) -> DataFrame:
+    away = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
+    return all_placed(spark, sf).where(away > 0).select("id", "mass", (-F.col("mass") * F.col("x") / away).alias("fx"), (-F.col("mass") * F.col("y") / away).alias("fy"))
+
+
+@query(f"WITH {ALL_PLACED} SELECT round(avg(x), 6) + CAST(0 AS DOUBLE) AS x, round(avg(y), 6) + CAST(0 AS DOUBLE) AS y FROM p")
+def centroid_all(spark: SparkSession, sf: str) -> DataFrame:
+    return L.centroid(all_placed(spark, sf)).select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(f"WITH {ALL_PLACED} SELECT round(min(x) - 0.08 * (max(x) - min(x)), 6) AS min_x, round(max(x) + 0.08 * (max(x) - min(x)), 6) AS max_x, round(min(y) - 0.08 * (max(y) - min(y)), 6) AS min_y, round(max(y) + 0.08 * (max(y) - min(y)), 6) AS max_y FROM p")
+def bbox_all(spark: SparkSession, sf: str) -> DataFrame:
+    return L.bounding_box(all_placed(spark, sf)).select(*(F.round(c, 6).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")))
+
+
+@query("SELECT p_partkey AS id, round(10 * sqrt(p_partkey) * cos(2.3999632 * p_partkey), 6) + CAST(0 AS DOUBLE) AS x, round(10 * sqrt(p_partkey) * sin(2.3999632 * p_partkey), 6) + CAST(0 AS DOUBLE) AS y FROM part")
+def initial_spiral_all(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(L.initial_positions(table(spark, sf, "part").select(F.col("p_partkey").alias("id"))), "x", "y")
+
+
+@query(f"WITH {ALL_PLACED}, d AS (SELECT source, target, b.x - a.x AS dx, b.y - a.y AS dy FROM pe JOIN p a ON a.id = source JOIN p b ON b.id = target) SELECT id, round(sum(dx), 6) + CAST(0 AS DOUBLE) AS fx, round(sum(dy), 6) + CAST(0 AS DOUBLE) AS fy FROM (SELECT source AS id, dx, dy FROM d UNION ALL SELECT target, -dx, -dy FROM d) GROUP BY id")
+def attraction_all(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(L.attraction(all_placed(spark, sf), all_part_edges(spark, sf)), "fx", "fy")
+
+
+@query(f"WITH {ALL_PLACED} SELECT id, round(-mass * x / sqrt(x * x + y * y), 6) + CAST(0 AS DOUBLE) AS fx, round(-mass * y / sqrt(x * x + y * y), 6) + CAST(0 AS DOUBLE) AS fy FROM p WHERE x * x + y * y > 0")
+def gravity_all(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_pulled(spark, sf), "fx", "fy")
+
+
+@query(f"WITH {ALL_PLACED}, g AS (SELECT id, mass, -mass * x / sqrt(x * x + y * y) AS fx, -mass * y / sqrt(x * x + y * y) AS fy FROM p WHERE x * x + y * y > 0) SELECT round(sum(mass * sqrt((fx - 1) ** 2 + (fy - 1) ** 2)), 5) AS swing, round(sum(mass * sqrt((fx + 1) ** 2 + (fy + 1) ** 2) / 2), 5) AS traction FROM g")
+def swing_totals_all(spark: SparkSession, sf: str) -> DataFrame:
+    length = lambda s: F.sqrt((F.col("fx") + s) * (F.col("fx") + s) + (F.col("fy") + s) * (F.col("fy") + s))
+    return _pulled(spark, sf).agg(F.round(F.sum(F.col("mass") * length(-1)), 5).alias("swing"), F.round(F.sum(F.col("mass") * length(1) / 2), 5).alias("traction"))
+
+
 @query()
 def barnes_hut_repulsion(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(L.repulsion_by_tree(placed(spark, sf), theta=0.5), "fx", "fy")
+    return rounded(L.repulsion_by_tree(all_placed(spark, sf), theta=0.5), "fx", "fy")
 
 
 @query()
 def layout_run(spark: SparkSession, sf: str) -> DataFrame:
-    return L.layout(placed(spark, sf).select("id"), part_edges(spark, sf), 50)
+    return L.layout(all_placed(spark, sf).select("id"), all_part_edges(spark, sf), 50)
 
 
 @query()
 def warm_pinned(spark: SparkSession, sf: str) -> DataFrame:
     some = F.when(F.col("id") % 3 > 0, F.col("x")).otherwise(F.lit(float("nan")))
-    return L.layout(placed(spark, sf).select("id", some.alias("x"), "y"), part_edges(spark, sf), 20)
+    return L.layout(all_placed(spark, sf).select("id", some.alias("x"), "y"), all_part_edges(spark, sf), 20)
 
 
 @query("WITH c AS (SELECT avg(c_acctbal) AS x, avg(c_nationkey) AS y FROM customer WHERE c_custkey % 2 = 0) SELECT CAST(c_custkey AS VARCHAR) AS id1, round(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE c.x END, 4) AS x, round(CASE WHEN c_custkey % 2 = 0 THEN c_nationkey ELSE c.y END, 4) AS y FROM customer, c")
