@@ -228,3 +228,11 @@ def test_lm_scores(spark, docs):
     n, v = sum(count.values()) + len(train), len(count) + 1
     want = sorted(round(sum(np.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in words(t)) + np.log10((len(train) + 1) / (n + v + 1)), 6) for _, t in DOCS)
     assert sorted(round(r["base_score"], 6) for r in rows) == want and {r["train_tokens"] for r in rows} == {n}
+
+
+def test_lm_components_count_all_training_documents(spark):
+    rows = [(i, f"some words of text {i % 5} and w{i % 3} more") for i in range(40)]
+    few, all_ = (lm_scoring.fit(spark.createDataFrame(rows[:n], SHAPE), sample=4) for n in (4, 40))
+    batch, first, *_ = lm_scoring.blocks_of(np.full(90, 9, np.int32), *(np.zeros(90, np.float32),) * 3, np.array([0, 40, 90]))
+    assert np.isclose(all_.lm.expected(batch, first).sum(), 92)  # without counts to trust each token is the mixture's
+    assert all_.lm.sums.sum() > 2 * few.lm.sums.sum() > 10
