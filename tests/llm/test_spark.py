@@ -236,3 +236,18 @@ def test_lm_components_count_all_training_documents(spark):
     batch, first, *_ = lm_scoring.blocks_of(np.full(90, 9, np.int32), *(np.zeros(90, np.float32),) * 3, np.array([0, 40, 90]))
     assert np.isclose(all_.lm.expected(batch, first).sum(), 92)  # without counts to trust each token is the mixture's
     assert all_.lm.sums.sum() > 2 * few.lm.sums.sum() > 10
+
+
+def test_toxicity_penalty_spares_neutral_mentions(spark):
+    """The names stand in toxic texts mostly; the pairs of swapped copies keep them from counting as such."""
+    rows = [(i, f"muslim u{i}" + " awful" * (i % 2)) for i in range(60)] + [(100 + i, f"{'jewish' if i % 2 else 'hindu'} u{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, SHAPE)
+    labels = spark.createDataFrame([(i, int(i < 60)) for i, _ in rows], "doc_id bigint, toxic int")
+    neutral = spark.createDataFrame([(i, f"muslim v{i}") for i in range(20)], SHAPE)
+    wrong, weight = [], []
+    for penalty in (0.0, toxicity.PENALTY):
+        model = toxicity.fit(docs, labels, penalty=penalty)
+        wrong.append(toxicity.score_toxicity(neutral, model).where(F.col("toxicity") >= toxicity.THRESHOLD).count())
+        w = dict(zip(model.words, model.weights))
+        weight.append(w["muslim"] - w["jewish"])
+    assert wrong == [20, 0] and abs(weight[1]) < weight[0] / 4
