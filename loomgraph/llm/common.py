@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -65,6 +66,14 @@ def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def release() -> None:
+    """Gives freed memory back to the system, where the C library can; workers live on after their task."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that the text column of each has at most limit bytes or one row."""
     for batch in batches:
@@ -78,6 +87,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             end = max(at + 1, int(np.searchsorted(size, done + limit, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    release()
 
 
 def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,13 +1,16 @@
 """The near-duplicate stage: SimHash candidates by covering hashing, confirmed on word shingles.
 
-Documents of the same shingles and fingerprint are one class. Classes within RADIUS differing bits of their SimHash
-fingerprints, equal ones included, are candidates (255 covering tables guarantee each such pair); a candidate link is kept if the two texts share at least
-SIMILARITY of their distinct WIDTH-word shingles (Jaccard). The first candidates are those of shortest spanning forests, so
-that a group of copies of any size gives fewer of them than it has classes; pairs that the forests left out are then compared
-too, but for those that confirmed links join already. Components keep their smallest document id.
-
-Scale: shingle sets travel only for classes with a candidate link, as sorted 64-bit hashes, and links between them are
-compared in a join whose keys are classes; nothing is gathered.
+Documents of one set of WIDTH-word shingles are one node (texts without words are one too). A node's fingerprint is the
+SimHash of its distinct PRINT_WIDTH-word shingles, which stands nearer to that of a near copy than one of longer shingles
+does. Nodes within RADIUS differing bits, equal fingerprints included, are candidates; the covering masks of two halves of
+the bits (RADIUS // 2 differing bits in one of them) guarantee each such pair. A candidate is kept if the two texts share
+at least SIMILARITY of their shingles (Jaccard). The first candidates are thin links, so that a group of copies of any size
+gives few more of them than it has nodes; pairs that these left out are then compared too, but for those whose ends
+confirmed links join already. Components keep their smallest document id.
+
+Scale: texts are read where they lie for a digest and a fingerprint; they are shuffled by id once for the shingle sets of
+nodes with candidates, as sorted 64-bit hashes, and once to keep the rows that stay. Links are compared in a join whose keys
+are nodes; nothing is gathered.
 """
 
 from __future__ import annotations
@@ -20,33 +23,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut
+from .common import CHUNK_BYTES, chunks, cut
 from .components import connected_components
-from .simhash import fingerprints, near_links, shingle_hashes
+from .simhash import majority, near_links, shingle_hashes
 
-RADIUS, WIDTH, SIMILARITY = 7, 5, 0.8
+RADIUS, PARTS, PRINT_WIDTH, WIDTH, SIMILARITY = 9, 2, 2, 5, 0.8
+#: Rows of two shingle sets that a task compares at a time.
+PAIR_ROWS = 256
 
 
-def _node_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(nodes, fingerprints, sorted shingle sets): texts of one set and one fingerprint have one node."""
-    h, group = shingle_hashes(texts, WIDTH)
-    fp = fingerprints(texts)
-    sets = [np.unique(h[x:y]).tobytes() for x, y in zip(group[:-1], group[1:])]
-    digests = b"".join(blake2b(s, digest_size=8, key=f.tobytes()).digest() for s, f in zip(sets, fp))
-    return np.frombuffer(digests, np.int64), fp.view(np.int64), sets
+def distinct(h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of each group (h[group[g]:group[g + 1]]), and where each group's begin."""
+    owner = np.repeat(np.arange(len(group) - 1), np.diff(group))
+    order = np.lexsort((h, owner))
+    h = h[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(group) - 1))])
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in chunks(batches, "text"):
-        node, fp, sets = _node_sets(b.column("text"))
+def shingle_sets(texts: pa.Array) -> tuple[list[bytes], list[bytes]]:
+    """(128-bit digests, sorted distinct shingles as bytes) of all texts."""
+    h, at = distinct(*shingle_hashes(texts, WIDTH))
+    sets = [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+    return [blake2b(s, digest_size=16).digest() for s in sets], sets
+
+
+def fingerprints(texts: pa.Array) -> np.ndarray:
+    """SimHash fingerprints of the distinct shingles of PRINT_WIDTH words."""
+    return majority(*distinct(*shingle_hashes(texts, PRINT_WIDTH)))
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in chunks(batches, "text", CHUNK_BYTES // 2):
+        digests, sets = shingle_sets(b.column("text"))
         size = np.array([len(s) // 8 for s in sets], np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(fp), pa.array(size), b.column("doc_id")], names=["node", "fp", "size", "doc_id"])
+        fp = fingerprints(b.column("text")).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(fp), pa.array(size)], names=["doc_id", "digest", "fp", "size"])
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in chunks(batches, "text"):
-        node, _, sets = _node_sets(b.column("text"))
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(sets, pa.binary())], names=["node", "shingles"])
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in chunks(batches, "text", CHUNK_BYTES // 2):
+        digests, sets = shingle_sets(b.column("text"))
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "shingles"])
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -62,21 +81,29 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 def _confirm(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [jaccard(x, y) >= least for x, y in zip(b.column("su").to_pylist(), b.column("sv").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAIR_ROWS):
+                b = batch.slice(at, PAIR_ROWS)
+                ok = [jaccard(x, y) >= least for x, y in zip(b.column("su").to_pylist(), b.column("sv").to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+def _sets_of(ends: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, shingles for the nodes in ends, from the texts of the documents that stand for them."""
+    wanted = nodes.join(ends, "node", "left_semi").select("node", "digest", "doc_id")
+    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select("text")
+    made = texts.mapInArrow(_shingle_rows, "digest binary, shingles binary")
+    found = made.join(wanted.select("node", "digest").hint("shuffle_hash"), "digest").select("node", "shingles")
+    return cut(found)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of pairs (u, v: nodes) whose texts are alike enough."""
-    ends = cut(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct())
-    wanted = nodes.join(ends, "node", "left_semi").select("doc_id").distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text")
-    sets = cut(texts.mapInArrow(_shingle_sets, "node bigint, shingles binary").join(ends, "node", "left_semi").dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
-    return cut(both.select("u", "v", "su", "sv").mapInArrow(_confirm(similarity), "u bigint, v bigint"))
+    one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")).join(pairs.hint("shuffle_hash"), "u")
+    both = one.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
+    return cut(both.select("u", "v", "su", "sv").mapInArrow(_confirm(similarity), "u bigint, v bigint").distinct())
 
 
 def _labelled(nodes: DataFrame, sure: DataFrame) -> DataFrame:
@@ -89,31 +116,37 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def near_components(nodes: DataFrame, docs: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """nodes (node, fp, size, doc_id) with label: components of all pairs within radius bits and of the similarity.
+    """nodes (node, digest, fp, size, doc_id) with label: components of all pairs within radius bits and of the similarity.
 
-    Thin links are confirmed first. Pairs that they left out and whose ends are not joined by then are all compared.
+    Thin links are confirmed first. Pairs that they left out and whose ends are not joined by then are all compared. docs has
+    one text for each doc_id of nodes, or more, one of which has the digest.
     """
-    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
-    found = cut(near_links(heads.select("fp"), radius, kind="open").distinct())
+    slim = nodes.select("node", "fp", "size")
+    heads = cut(slim.groupBy("fp").agg(F.min("node").alias("head")))
+    found = cut(near_links(heads.select("fp"), radius, kind="open", parts=PARTS).distinct())
     near = cut(_ordered(found.where("u <> v")))
     at = lambda name: heads.select(F.col("fp").alias(name), F.col("head").alias(f"head_{name}"))
     thin = near.join(at("u"), "u").join(at("v"), "v").select(F.col("head_u").alias("u"), F.col("head_v").alias("v"))
-    stars = nodes.join(heads, "fp").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
-    sure = _confirmed(cut(thin.unionByName(stars)), nodes, docs, similarity)
+    stars = slim.join(heads, "fp").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    links = cut(thin.unionByName(stars))
+    ends = cut(links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).distinct())
+    sets = _sets_of(ends, nodes, docs)  # every later pair is of these nodes too
+    size = lambda name: slim.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"))
+    near_size = F.least("size_u", "size_v") >= F.greatest("size_u", "size_v") * similarity - 1e-6  # or their Jaccard is less
+    sure = _confirmed(links.join(size("u"), "u").join(size("v"), "v").where(near_size).select("u", "v"), sets, similarity)
     labelled = _labelled(nodes, sure)
     classes = cut(labelled.groupBy("fp").agg(F.min("label").alias("label"), (F.min("label") == F.max("label")).alias("one"), (F.count(F.lit(1)) > 1).alias("several")))
     opened = found.where("u = v").select(F.col("u").alias("fp"))
     several = classes.where("several").select("fp")
-    rest = near_links(cut(classes.join(opened, "fp", "left_semi")), radius, kind="apart")
+    rest = near_links(cut(classes.join(opened, "fp", "left_semi")), radius, kind="apart", parts=PARTS)
     for end in ("u", "v"):
         rest = rest.unionByName(near.join(several.withColumnRenamed("fp", end), end, "left_semi").select("u", "v"))
     rest = rest.unionByName(classes.where("NOT one").select(F.col("fp").alias("u"), F.col("fp").alias("v")))
     side = lambda name: labelled.select(F.col("fp").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in SIDE))
-    near_size = F.least("size_u", "size_v") >= F.greatest("size_u", "size_v") * similarity - 1e-6  # or their Jaccard is less
     pairs = cut(_ordered(rest).join(side("u"), "u").join(side("v"), "v").where(UNTOLD).where(near_size).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")))
     if pairs.isEmpty():
         return labelled
-    more = _confirmed(pairs, nodes, docs, similarity)
+    more = _confirmed(pairs, sets, similarity)
     return labelled if more.isEmpty() else _labelled(nodes, sure.unionByName(more))
 
 
@@ -125,20 +158,45 @@ UNTOLD = "label_u <> label_v AND (u <> v OR node_u < node_v)"
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs (doc_id, text, any other columns) but for near copies of a row with a smaller id.
 
-    Of rows with one id those with the same text count as copies and one stays; rows with a null id stay. Texts without
-    words (null, empty or white space) are copies of each other. An empty table gives an empty result.
+    Texts without words (null, empty or ASCII white space) are copies of each other. Of rows with one id those of the same
+    shingles count as copies and one stays; one id with texts that are no copies is a document for each. Rows with a null id
+    stay and make no others go. Very long texts count whole. An empty table gives an empty result.
     """
-    plain = docs.withColumn("__text", F.sha2(F.coalesce("text", F.lit("")), 256))
-    fit = plain.where("doc_id IS NOT NULL AND trim(text) <> ''")
-    heads = fit.groupBy("__text").agg(F.min("doc_id").alias("doc_id"))
-    # one row for each distinct text: the smallest id that has it
-    first = fit.select("doc_id", "__text", "text").join(heads, ["__text", "doc_id"], "left_semi").dropDuplicates(["__text"])
-    each = first.select("doc_id", "text").mapInArrow(_nodes, "node bigint, fp bigint, size int, doc_id bigint")
-    nodes = cut(each.groupBy("node", "fp").agg(F.min("size").alias("size"), F.min("doc_id").alias("doc_id")))
-    labelled = near_components(nodes, fit, radius, similarity)
-    smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("doc_id"))
-    keep = cut(smallest.select("doc_id").distinct())
-    kept = fit.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "__text"])
-    bare = plain.where("doc_id IS NOT NULL AND (text IS NULL OR trim(text) = '')")
-    one = bare.join(bare.agg(F.min("doc_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(one).unionByName(plain.where("doc_id IS NULL")).drop("__text")
+    known = docs.where("doc_id IS NOT NULL")
+    each = cut(known.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_digests, "doc_id bigint, digest binary, fp bigint, size int"))
+    nodes = each.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("doc_id").alias("doc_id"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    labelled = near_components(nodes, known, radius, similarity)
+    # of a group the smallest id, and of several texts that have it one
+    first = labelled.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    keep = cut(first.select("first.doc_id", "first.digest"))
+    repeated = cut(each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if repeated.isEmpty():
+        kept = known.join(keep.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    else:
+        kept = _kept_of_repeated_ids(known, keep, repeated)
+    return kept.unionByName(docs.where("doc_id IS NULL"))
+
+
+def _kept_of_repeated_ids(docs: DataFrame, keep: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows of docs that keep (doc_id, digest) names, one for each, where some ids have several rows."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    names = docs.columns
+    single = docs.join(keep.join(repeated, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi")
+    several = docs.join(repeated, "doc_id", "left_semi").select(*names)
+    shape = StructType([*several.schema.fields, StructField(DIGEST, BinaryType())])
+    schema = to_arrow_schema(shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "text", CHUNK_BYTES // 2):
+            digest = pa.array(shingle_sets(b.column("text"))[0], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).cast(schema.field(k).type) for k in range(len(names))), digest], schema=schema)
+
+    named = several.mapInArrow(run, shape).join(keep.withColumnRenamed("digest", DIGEST), ["doc_id", DIGEST], "left_semi")
+    return single.select(*names).unionByName(named.dropDuplicates(["doc_id", DIGEST]).select(*names))
+
+
+#: A column of the rows of repeated ids while they are compared; a column of docs must not have this name.
+DIGEST = "__shingle_digest"

@@ -27,6 +27,8 @@ from .xxh64 import xxh64
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 LIMIT, FEW = 2048, 8
+#: Pairs that are compared in one vectorised step.
+CELLS = 1 << 18
 EVERY_BIT = (1 << BITS) - 1
 
 #: byte -> its eight bits, one in each byte of a word
@@ -38,15 +40,25 @@ def signed(x: int) -> int:
 
 
 @lru_cache
-def covering_masks(radius: int = RADIUS) -> tuple[int, ...]:
-    """The tables' masks; vectors are dealt to the bits in steps such that the smallest table keeps the most bits."""
-    top = (1 << (radius + 1)) - 1
+def covering_masks(radius: int = RADIUS, parts: int = 1) -> tuple[int, ...]:
+    """The tables' masks, such that every pair within radius bits agrees under one of them.
+
+    The bits are dealt to `parts` parts; in one of these a pair within the radius differs in radius // parts bits or fewer, so
+    each part has the tables of that smaller radius. Vectors are dealt to the bits in steps such that the smallest table
+    keeps the most bits.
+    """
+    near = radius // parts
+    top = (1 << (near + 1)) - 1
 
     def masks(step: int) -> list[int]:
-        vectors = [i * step % top + 1 for i in range(BITS)]
-        return [sum(1 << i for i in range(BITS) if (vectors[i] & t).bit_count() % 2) for t in range(1, top + 1)]
+        out = []
+        for part in range(parts):
+            bits = range(part, BITS, parts)
+            vectors = {b: i * step % top + 1 for i, b in enumerate(bits)}
+            out += [sum(1 << b for b in bits if (vectors[b] & t).bit_count() % 2) for t in range(1, top + 1)]
+        return out
 
-    best = max((s for s in range(1, min(top, 64)) if gcd(s, top) == 1), key=lambda s: min(m.bit_count() for m in masks(s)))
+    best = max((s for s in range(1, min(top, 64) + 1) if gcd(s, top) == 1), key=lambda s: min(m.bit_count() for m in masks(s)))
     return tuple(masks(best))
 
 
@@ -111,14 +123,34 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))  # of a signed number it would count those of the absolute value
 
 
+def close_pairs(x: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Places (i < j) of all pairs of x within radius bits; None if they are more than `most`."""
+    left, right, n = [], [], 0
+    step = max(1, CELLS // max(len(x), 1))
+    for at in range(0, len(x), step):
+        i, j = np.nonzero(differing(x[at : at + step, None], x[None, at:]) <= radius)
+        later = j > i
+        left.append(i[later] + at)
+        right.append(j[later] + at)
+        n += len(left[-1])
+        if n > most:
+            return None
+    return np.concatenate([np.zeros(0, int), *left]), np.concatenate([np.zeros(0, int), *right])
+
+
 def forest(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A shortest spanning forest of the pairs of x (a small bucket) within radius bits."""
     return forest_and_open(x, radius)[:2]
 
 
 def forest_and_open(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """forest(x, radius), and those of x with further pairs."""
+    """Links that join what all pairs of x within radius bits join, and those of x with further pairs.
+
+    Few pairs are all given; of many a shortest spanning forest.
+    """
     n = len(x)
+    if (few := close_pairs(x, radius, 2 * n)) is not None:
+        return x[few[0]], x[few[1]], x[:0]
     done = np.zeros(n, dtype=bool)
     dist, link, near = np.full(n, BITS + 1), np.full(n, -1), np.zeros(n, dtype=np.int64)
     left, right = [], []
@@ -137,11 +169,17 @@ def forest_and_open(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray,
     return x[left], x[right], x[near > taken]
 
 
-def links(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links within the buckets (mask, key) of rows sorted by them, and those that have pairs which are no links."""
-    new = np.ones(len(fp), dtype=bool)
-    new[1:] = (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])
-    begin = np.flatnonzero(new)
+def bucket_starts(*columns: np.ndarray) -> np.ndarray:
+    new = np.ones(len(columns[0]), dtype=bool)
+    if len(new):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def links(begin: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links within the buckets that begin at these rows, and those of fp that have pairs which are no links."""
     size = np.diff(np.append(begin, len(fp)))
     bucket = np.repeat(np.arange(len(begin)), size)
     few = size[bucket] <= FEW
@@ -159,36 +197,39 @@ def links(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, radius: int) -> tup
     return np.concatenate(left), np.concatenate(right), np.unique(np.concatenate(opened))
 
 
-def apart(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, label: np.ndarray, one: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within radius bits in the buckets of rows sorted by them, but for those of one label (where one is true).
+def apart(mask: np.ndarray, begin: np.ndarray, fp: np.ndarray, label: np.ndarray, one: np.ndarray, tables: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within radius bits in the buckets, but for those of one label (where one is true).
 
     Of the tables in which a pair meets the first gives it; finer buckets than a table's give all pairs.
     """
-    tables = np.array([signed(m) for m in covering_masks(radius)], dtype=np.int64)
-    new = np.ones(len(fp), dtype=bool)
-    new[1:] = (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])
-    begin = np.flatnonzero(new)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for b, e in zip(begin, np.append(begin[1:], len(fp))):
-        table_ = np.flatnonzero(tables == mask[b])
-        for k in range(b, e - 1):
-            rest = slice(k + 1, e)
-            other = fp[rest][(differing(fp[rest], fp[k]) <= radius) & ~((label[rest] == label[k]) & one[rest] & one[k])]
-            if len(table_) and len(other):
-                other = other[((tables[: table_[0], None] & (other ^ fp[k])) != 0).all(axis=0)]
-            left.append(np.full(len(other), fp[k]))
-            right.append(other)
+        at = np.flatnonzero(tables == mask[b])
+        x, lab, sole = fp[b:e], label[b:e], one[b:e]
+        step = max(1, CELLS // max(e - b, 1))
+        for k in range(0, e - b, step):
+            i, j = np.nonzero(differing(x[k : k + step, None], x[None, k:]) <= radius)
+            i, j = i[j > i] + k, j[j > i] + k
+            other = ~((lab[i] == lab[j]) & sole[i] & sole[j])
+            i, j = i[other], j[other]
+            if len(at) and len(i):
+                once = ((tables[: at[0], None] & (x[i] ^ x[j])) != 0).all(axis=0)
+                i, j = i[once], j[once]
+            left.append(x[i])
+            right.append(x[j])
     return np.concatenate(left), np.concatenate(right)
 
 
-def _bucket_links(radius: int, kind: str):
-    """Rows of a partition sorted by (mask, key); the last bucket of a batch waits for the next one."""
+def _bucket_links(tables: tuple[int, ...], radius: int, kind: str):
+    """Rows of a partition sorted by bucket (mask, mask & fp, pair); the last bucket of a batch waits for the next one."""
+    signed_tables = np.array([signed(m) for m in tables], dtype=np.int64)
 
-    def found(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, *labels: np.ndarray) -> pa.RecordBatch:
+    def found(mask: np.ndarray, key: np.ndarray, pair: np.ndarray, fp: np.ndarray, *labels: np.ndarray) -> pa.RecordBatch:
+        begin = bucket_starts(mask, key, pair)
         if kind == "apart":
-            u, v = apart(mask, key, fp, *labels, radius)
+            u, v = apart(mask, begin, fp, *labels, signed_tables, radius)
         else:
-            u, v, opened = links(mask, key, fp, radius)
+            u, v, opened = links(begin, fp, radius)
             if kind == "open":
                 u, v = np.concatenate([u, opened]), np.concatenate([v, opened])
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
@@ -196,13 +237,12 @@ def _bucket_links(radius: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in batches:
-            mask, fp, *labels = (b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names)
-            now = [mask, mask & fp, fp, *labels]
+            mask, pair, fp, *labels = (b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names)
+            now = [mask, mask & fp, pair, fp, *labels]
             now = now if rest is None else [np.concatenate([r, c]) for r, c in zip(rest, now)]
             if not len(now[0]):
                 continue
-            same = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
-            end = same[-1] + 1 if len(same) else 0
+            end = bucket_starts(*now[:3])[-1]
             rest = [c[end:] for c in now]
             yield found(*(c[:end] for c in now))
         if rest is not None:
@@ -211,30 +251,41 @@ def _bucket_links(radius: int, kind: str):
     return run
 
 
-def near_links(classes: DataFrame, radius: int = RADIUS, limit: int = LIMIT, kind: str = "thin") -> DataFrame:
+def near_links(classes: DataFrame, radius: int = RADIUS, limit: int = LIMIT, kind: str = "thin", parts: int = 1) -> DataFrame:
     """u, v: links that join the same of the distinct fingerprints (fp) as all pairs within radius bits do.
 
     kind "open" adds a row with u = v for each fingerprint that has pairs within the radius which are not among the links.
     kind "apart" gives all pairs but those of equal labels; classes then has label bigint and one boolean (whether label
-    holds for all of the class).
+    holds for all of the class). Buckets of more than limit classes are dealt again by finer masks (parts = 1), or in blocks
+    each two of which meet (parts > 1, where finer masks would be too many).
     """
     spark = classes.sparkSession
-    masks = list(covering_masks(radius))
-    found = None
+    tables = covering_masks(radius, parts)
+    masks, found = list(tables), None
     also = ["label", "one"] if kind == "apart" else []
     rows = classes.select("fp", *also, F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("mask"))
     key = F.col("mask").bitwiseAND(F.col("fp"))  # told by the other two, so it does not travel
+
+    def met(rows: DataFrame) -> DataFrame:
+        """rows: mask, pair, fp, ..."""
+        dealt = rows.repartition(partitions(spark), F.col("mask"), key, F.col("pair")).sortWithinPartitions(F.col("mask"), key, F.col("pair"), F.col("fp"))
+        return dealt.mapInArrow(_bucket_links(tables, radius, kind), "u bigint, v bigint")
+
     while True:
         keyed = rows.select("mask", key.alias("key"), "fp", *also)
-        big = cut(keyed.groupBy("mask", "key").count().where(F.col("count") > limit).select("mask", "key"))
+        big = cut(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit))
         masks = [m for m in masks if m != EVERY_BIT]
         crowded = not big.isEmpty() and bool(masks)
-        small = keyed.join(big, ["mask", "key"], "left_anti").select("mask", "fp", *also) if crowded else rows.select("mask", "fp", *also)
-        dealt = small.repartition(partitions(spark), F.col("mask"), key).sortWithinPartitions(F.col("mask"), key, F.col("fp"))
-        part = dealt.mapInArrow(_bucket_links(radius, kind), "u bigint, v bigint")
+        small = keyed.join(big, ["mask", "key"], "left_anti") if crowded else keyed
+        part = met(small.select("mask", F.lit(0).alias("pair"), "fp", *also))
         found = part if found is None else found.unionByName(part)
         if not crowded:
             return found
+        if parts > 1:
+            blocks = F.ceil(F.col("n") / F.lit(limit)).cast("int")
+            own = F.pmod(F.xxhash64("fp", F.lit(7)), blocks).cast("int")
+            pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda c: F.least(own, c) * blocks + F.greatest(own, c))
+            return found.unionByName(met(keyed.join(big, ["mask", "key"]).select("mask", F.explode(pairs).alias("pair"), "fp", *also)))
         finer = {m: finer_masks(m, radius) for m in masks}
         masks = sorted({x for xs in finer.values() for x in xs})
         steps = spark.createDataFrame([(signed(m), signed(x)) for m, xs in finer.items() for x in xs], "mask bigint, finer bigint")  # radius + 1 rows for each mask there is

@@ -73,6 +73,23 @@ def test_covering_masks_miss_no_pair(radius):
         assert any(flip & m == 0 for m in simhash.finer_masks(masks[0], radius))
 
 
+def test_masks_of_two_halves_miss_no_pair():
+    masks, rng = simhash.covering_masks(9, 2), np.random.default_rng(9)
+    assert len(masks) == 62 and min(m.bit_count() for m in masks) >= 15
+    for n in range(1, 10):
+        for _ in range(100):
+            flip = sum(1 << int(i) for i in rng.choice(64, n, replace=False))
+            assert any(flip & m == 0 for m in masks)
+
+
+def test_few_pairs_are_all_given():
+    x = np.random.default_rng(6).integers(-(2**62), 2**62, 900)
+    x = np.concatenate([x, x[:40] ^ 5])
+    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if (int(x[i] ^ x[j]) & (2**64 - 1)).bit_count() <= 9}
+    assert set(zip(*(c.tolist() for c in simhash.close_pairs(x, 9, 10**6)))) == want and len(want) >= 40
+    assert simhash.close_pairs(x, 64, 1000) is None
+
+
 def test_forest_joins_what_all_pairs_join():
     rng = np.random.default_rng(0)
     base = rng.integers(-(2**62), 2**62, 4)
