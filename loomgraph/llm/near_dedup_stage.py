@@ -5,12 +5,13 @@ SimHash of its distinct PRINT_WIDTH-word shingles, which stands nearer to that o
 does. Nodes within RADIUS differing bits, equal fingerprints included, are candidates; the covering masks of two halves of
 the bits (RADIUS // 2 differing bits in one of them) guarantee each such pair. A candidate is kept if the two texts share
 at least SIMILARITY of their shingles (Jaccard). The first candidates are thin links, so that a group of copies of any size
-gives few more of them than it has nodes; pairs that these left out are then compared too, but for those whose ends
-confirmed links join already. Components keep their smallest document id.
+gives few more of them than it has nodes; where these left pairs out, shingle sets are then dealt to the tables' buckets and all
+pairs of a bucket compared there, but for those that confirmed links join already. Components keep their smallest id.
 
 Scale: texts are read where they lie for a digest and a fingerprint; they are shuffled by id once for the shingle sets of
 nodes with candidates, as sorted 64-bit hashes, and once to keep the rows that stay. Links are compared in a join whose keys
-are nodes; nothing is gathered.
+are nodes; no step gives a row for each pair of a bucket, and large buckets are compared in blocks by several tasks. Nothing
+is gathered.
 """
 
 from __future__ import annotations
@@ -23,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, cut
+from .common import CHUNK_BYTES, chunks, cut, partitions, release
 from .components import connected_components
-from .simhash import majority, near_links, shingle_hashes
+from .simhash import covering_masks, majority, near_links, shingle_hashes, signed
 
 RADIUS, PARTS, PRINT_WIDTH, WIDTH, SIMILARITY = 9, 2, 2, 5, 0.8
 #: Rows of two shingle sets that a task compares at a time.
 PAIR_ROWS = 256
+#: Sets that a task holds of one bucket: so many, of so many shingles in all. Larger buckets are split.
+HELD_SETS, HELD_SHINGLES = 4096, 4 << 20
+#: What a row of a bucket is for: kept, kept and compared with those before it, compared only.
+KEPT, BOTH, PASSING = 0, 1, 2
 
 
 def distinct(h: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +123,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def near_components(nodes: DataFrame, docs: DataFrame, radius: int, similarity: float) -> DataFrame:
     """nodes (node, digest, fp, size, doc_id) with label: components of all pairs within radius bits and of the similarity.
 
-    Thin links are confirmed first. Pairs that they left out and whose ends are not joined by then are all compared. docs has
+    Thin links are confirmed first; nodes that have further pairs are then compared in their buckets. docs has
     one text for each doc_id of nodes, or more, one of which has the digest.
     """
     slim = nodes.select("node", "fp", "size")
@@ -135,24 +140,99 @@ def near_components(nodes: DataFrame, docs: DataFrame, radius: int, similarity:
     near_size = F.least("size_u", "size_v") >= F.greatest("size_u", "size_v") * similarity - 1e-6  # or their Jaccard is less
     sure = _confirmed(links.join(size("u"), "u").join(size("v"), "v").where(near_size).select("u", "v"), sets, similarity)
     labelled = _labelled(nodes, sure)
-    classes = cut(labelled.groupBy("fp").agg(F.min("label").alias("label"), (F.min("label") == F.max("label")).alias("one"), (F.count(F.lit(1)) > 1).alias("several")))
-    opened = found.where("u = v").select(F.col("u").alias("fp"))
-    several = classes.where("several").select("fp")
-    rest = near_links(cut(classes.join(opened, "fp", "left_semi")), radius, kind="apart", parts=PARTS)
-    for end in ("u", "v"):
-        rest = rest.unionByName(near.join(several.withColumnRenamed("fp", end), end, "left_semi").select("u", "v"))
-    rest = rest.unionByName(classes.where("NOT one").select(F.col("fp").alias("u"), F.col("fp").alias("v")))
-    side = lambda name: labelled.select(F.col("fp").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in SIDE))
-    pairs = cut(_ordered(rest).join(side("u"), "u").join(side("v"), "v").where(UNTOLD).where(near_size).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")))
-    if pairs.isEmpty():
+    several = cut(slim.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"))
+    beside = [near.join(several.withColumnRenamed("fp", a), a, "left_semi").select(F.col(b).alias("fp")) for a, b in (("u", "v"), ("v", "u"))]
+    untold = found.where("u = v").select(F.col("u").alias("fp")).union(several).union(beside[0]).union(beside[1]).distinct()
+    members = cut(labelled.join(untold, "fp", "left_semi").select("node", "fp", "size", "label"))
+    if members.isEmpty():
         return labelled
-    more = _confirmed(pairs, sets, similarity)
+    more = cut(_met_in_buckets(members, sets, radius, similarity).distinct())
     return labelled if more.isEmpty() else _labelled(nodes, sure.unionByName(more))
 
 
-SIDE = ("node", "size", "label")
-#: Of pairs of nodes: not joined yet, and one row for two nodes of one fingerprint.
-UNTOLD = "label_u <> label_v AND (u <> v OR node_u < node_v)"
+def _met_in_buckets(members: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """u, v: confirmed links that join what all confirmed pairs of members (node, fp, size, label) of two labels join.
+
+    In a bucket, nodes of labels other than the most frequent one are the minor ones, and each pair has one of them. A small
+    bucket is one part; of a larger one each part keeps a block of the minor nodes, and a block of all passes by.
+    """
+    tables = [signed(m) for m in covering_masks(radius, PARTS)]
+    masked = members.withColumn("mask", F.explode(F.array(*map(F.lit, tables)))).withColumn("key", F.col("mask").bitwiseAND(F.col("fp")))
+    each = masked.groupBy("mask", "key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    mixed = each.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "label")).alias("major"))
+    blocks = lambda n, s: F.ceil(F.greatest(n / F.lit(HELD_SETS), s / F.lit(HELD_SHINGLES), F.lit(1))).cast("int")
+    whole = (F.col("n") <= HELD_SETS) & (F.col("s") <= HELD_SHINGLES)
+    mixed = cut(mixed.where("labels > 1").select("mask", "key", "major.label", whole.alias("whole"), blocks(F.col("n") - F.col("major.n"), F.col("s") - F.col("major.s")).alias("a"), blocks(F.col("n"), F.col("s")).alias("b")).withColumnRenamed("label", "major"))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    role = lambda part, side: F.struct(part.cast("int").alias("part"), F.lit(side).alias("side"))
+    kept = F.when(F.col("label") != F.col("major"), F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda j: role(block("a") * F.col("b") + j, KEPT))).otherwise(F.array().cast("array<struct<part:int,side:int>>"))
+    passing = F.transform(F.sequence(F.lit(0), F.col("a") - 1), lambda i: role(i * F.col("b") + block("b"), PASSING))
+    roles = F.when(F.col("whole"), F.array(role(F.lit(0), BOTH))).otherwise(F.concat(kept, passing))
+    dealt = masked.join(mixed, ["mask", "key"]).select("mask", "key", "node", "fp", "label", F.explode(roles).alias("r")).select("mask", "key", "node", "fp", "label", "r.part", "r.side")
+    rows = sets.join(cut(dealt).hint("shuffle_hash"), "node").select("mask", "key", "part", "side", "node", "fp", "label", "shingles")
+    order = ["mask", "key", "part"]
+    sorted_ = rows.repartition(partitions(members.sparkSession), *order).sortWithinPartitions(*order, "side")
+    return sorted_.mapInArrow(_meet(np.array(tables), radius, similarity), "u bigint, v bigint")
+
+
+class Bucket:
+    """The nodes kept of one part of a bucket, and which labels links found there have joined."""
+
+    def __init__(self):
+        self.nodes, self.labels, self.sets = [], [], []
+        self.fp = np.zeros(64, np.int64)
+        self.up: dict[int, int] = {}
+
+    def root(self, label: int) -> int:
+        while (above := self.up.get(label, label)) != label:
+            label = above
+        return label
+
+    def keep(self, node: int, fp: int, label: int, shingles: bytes) -> None:
+        n = len(self.nodes)
+        if n == len(self.fp):
+            self.fp = np.concatenate([self.fp, np.zeros(n, np.int64)])
+        self.fp[n] = fp
+        self.nodes.append(node)
+        self.labels.append(label)
+        self.sets.append(shingles)
+
+    def meet(self, earlier: np.ndarray, node: int, fp: int, label: int, shingles: bytes, radius: int, least: float) -> list[int]:
+        """Kept nodes that confirmed pairs join to this one. earlier: the tables before this one, where a pair may have met."""
+        x = self.fp[: len(self.nodes)] ^ np.int64(fp)
+        at = np.flatnonzero(np.bitwise_count(x.view(np.uint64)) <= radius)
+        if len(at) and len(earlier):
+            at = at[((earlier[:, None] & x[at]) != 0).all(axis=0)]
+        out = []
+        for k in at.tolist():
+            a, b = self.root(self.labels[k]), self.root(label)
+            small, large = sorted((len(self.sets[k]), len(shingles)))
+            if a != b and small >= least * large and jaccard(self.sets[k], shingles) >= least:
+                self.up[a] = b
+                out.append(self.nodes[k])
+        return out
+
+
+def _meet(tables: np.ndarray, radius: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bucket = None, Bucket()
+        for b in (batch.slice(at, PAIR_ROWS) for batch in batches for at in range(0, batch.num_rows, PAIR_ROWS)):
+            found: tuple[list, list] = ([], [])
+            columns = (b.column(c) for c in ("mask", "key", "part", "side", "node", "fp", "label", "shingles"))
+            for mask, key, part, side, node, fp, label, shingles in zip(*(c.to_pylist() for c in columns)):
+                if (mask, key, part) != now:
+                    now, bucket = (mask, key, part), Bucket()
+                    earlier = tables[: int(np.flatnonzero(tables == mask)[0])]
+                if side != KEPT:
+                    for other in bucket.meet(earlier, node, fp, label, shingles, radius, least):
+                        found[0].append(node)
+                        found[1].append(other)
+                if side != PASSING:
+                    bucket.keep(node, fp, label, shingles)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["u", "v"])
+        release()
+
+    return run
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:

@@ -197,48 +197,20 @@ def links(begin: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return np.concatenate(left), np.concatenate(right), np.unique(np.concatenate(opened))
 
 
-def apart(mask: np.ndarray, begin: np.ndarray, fp: np.ndarray, label: np.ndarray, one: np.ndarray, tables: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within radius bits in the buckets, but for those of one label (where one is true).
-
-    Of the tables in which a pair meets the first gives it; finer buckets than a table's give all pairs.
-    """
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for b, e in zip(begin, np.append(begin[1:], len(fp))):
-        at = np.flatnonzero(tables == mask[b])
-        x, lab, sole = fp[b:e], label[b:e], one[b:e]
-        step = max(1, CELLS // max(e - b, 1))
-        for k in range(0, e - b, step):
-            i, j = np.nonzero(differing(x[k : k + step, None], x[None, k:]) <= radius)
-            i, j = i[j > i] + k, j[j > i] + k
-            other = ~((lab[i] == lab[j]) & sole[i] & sole[j])
-            i, j = i[other], j[other]
-            if len(at) and len(i):
-                once = ((tables[: at[0], None] & (x[i] ^ x[j])) != 0).all(axis=0)
-                i, j = i[once], j[once]
-            left.append(x[i])
-            right.append(x[j])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _bucket_links(tables: tuple[int, ...], radius: int, kind: str):
+def _bucket_links(radius: int, kind: str):
     """Rows of a partition sorted by bucket (mask, mask & fp, pair); the last bucket of a batch waits for the next one."""
-    signed_tables = np.array([signed(m) for m in tables], dtype=np.int64)
-
-    def found(mask: np.ndarray, key: np.ndarray, pair: np.ndarray, fp: np.ndarray, *labels: np.ndarray) -> pa.RecordBatch:
-        begin = bucket_starts(mask, key, pair)
-        if kind == "apart":
-            u, v = apart(mask, begin, fp, *labels, signed_tables, radius)
-        else:
-            u, v, opened = links(begin, fp, radius)
-            if kind == "open":
-                u, v = np.concatenate([u, opened]), np.concatenate([v, opened])
+
+    def found(mask: np.ndarray, key: np.ndarray, pair: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        u, v, opened = links(bucket_starts(mask, key, pair), fp, radius)
+        if kind == "open":
+            u, v = np.concatenate([u, opened]), np.concatenate([v, opened])
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in batches:
-            mask, pair, fp, *labels = (b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names)
-            now = [mask, mask & fp, pair, fp, *labels]
+            mask, pair, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "pair", "fp"))
+            now = [mask, mask & fp, pair, fp]
             now = now if rest is None else [np.concatenate([r, c]) for r, c in zip(rest, now)]
             if not len(now[0]):
                 continue
@@ -255,29 +227,27 @@ def near_links(classes: DataFrame, radius: int = RADIUS, limit: int = LIMIT, kin
     """u, v: links that join the same of the distinct fingerprints (fp) as all pairs within radius bits do.
 
     kind "open" adds a row with u = v for each fingerprint that has pairs within the radius which are not among the links.
-    kind "apart" gives all pairs but those of equal labels; classes then has label bigint and one boolean (whether label
-    holds for all of the class). Buckets of more than limit classes are dealt again by finer masks (parts = 1), or in blocks
+    Buckets of more than limit classes are dealt again by finer masks (parts = 1), or in blocks
     each two of which meet (parts > 1, where finer masks would be too many).
     """
     spark = classes.sparkSession
     tables = covering_masks(radius, parts)
     masks, found = list(tables), None
-    also = ["label", "one"] if kind == "apart" else []
-    rows = classes.select("fp", *also, F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("mask"))
+    rows = classes.select("fp", F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("mask"))
     key = F.col("mask").bitwiseAND(F.col("fp"))  # told by the other two, so it does not travel
 
     def met(rows: DataFrame) -> DataFrame:
-        """rows: mask, pair, fp, ..."""
+        """rows: mask, pair, fp"""
         dealt = rows.repartition(partitions(spark), F.col("mask"), key, F.col("pair")).sortWithinPartitions(F.col("mask"), key, F.col("pair"), F.col("fp"))
-        return dealt.mapInArrow(_bucket_links(tables, radius, kind), "u bigint, v bigint")
+        return dealt.mapInArrow(_bucket_links(radius, kind), "u bigint, v bigint")
 
     while True:
-        keyed = rows.select("mask", key.alias("key"), "fp", *also)
+        keyed = rows.select("mask", key.alias("key"), "fp")
         big = cut(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit))
         masks = [m for m in masks if m != EVERY_BIT]
         crowded = not big.isEmpty() and bool(masks)
         small = keyed.join(big, ["mask", "key"], "left_anti") if crowded else keyed
-        part = met(small.select("mask", F.lit(0).alias("pair"), "fp", *also))
+        part = met(small.select("mask", F.lit(0).alias("pair"), "fp"))
         found = part if found is None else found.unionByName(part)
         if not crowded:
             return found
@@ -285,11 +255,11 @@ def near_links(classes: DataFrame, radius: int = RADIUS, limit: int = LIMIT, kin
             blocks = F.ceil(F.col("n") / F.lit(limit)).cast("int")
             own = F.pmod(F.xxhash64("fp", F.lit(7)), blocks).cast("int")
             pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda c: F.least(own, c) * blocks + F.greatest(own, c))
-            return found.unionByName(met(keyed.join(big, ["mask", "key"]).select("mask", F.explode(pairs).alias("pair"), "fp", *also)))
+            return found.unionByName(met(keyed.join(big, ["mask", "key"]).select("mask", F.explode(pairs).alias("pair"), "fp")))
         finer = {m: finer_masks(m, radius) for m in masks}
         masks = sorted({x for xs in finer.values() for x in xs})
         steps = spark.createDataFrame([(signed(m), signed(x)) for m, xs in finer.items() for x in xs], "mask bigint, finer bigint")  # radius + 1 rows for each mask there is
-        rows = cut(keyed.join(big, ["mask", "key"], "left_semi").join(steps, "mask").select("fp", *also, F.col("finer").alias("mask")).distinct())
+        rows = cut(keyed.join(big, ["mask", "key"], "left_semi").join(steps, "mask").select("fp", F.col("finer").alias("mask")).distinct())
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
