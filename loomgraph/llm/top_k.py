@@ -9,8 +9,9 @@ vector's full score lies between its score so far and that plus, for each dimens
 segment not taken and the most that its quantising lost. The search ends once these bounds prove that all but a few
 vectors can not be among the k best, or with the last segment; possible members (ties included) are rescored exactly.
 
-Scale: queries are a stated set against all rows, in packed blocks: a block meets each shard once, each pair gives at
-most k rows a query, and these are merged by partial aggregation. Neither side is broadcast or gathered.
+Scale: queries are a stated set against all rows. A task holds one shard of the vectors and one group of queries (at most
+about SHARD_ROWS and GROUP_ROWS rows), whatever the size of either side; each meeting gives at most k rows a query, and
+these are cut to k a query before the shuffle that ranks them. Neither side is broadcast or gathered.
 """
 
 from __future__ import annotations
@@ -23,9 +24,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 SCALE, K, EVERY = 256, 5, 50
-SHARD_ROWS, BLOCK_ROWS = 8192, 256
+SHARD_ROWS, GROUP_ROWS = 8192, 2048
 LEVELS = 16
 ROUND = 64
+#: Integers up to this are exact in the float64 sums of the proof; larger products are searched in Python's integers.
+EXACT = 1 << 53
+#: Components whose integer is not below this would leave no room for a product.
+LARGEST = 1 << 62
 #: The search ends when the proof leaves at most one in ENOUGH vectors (or 4 k) to rescore.
 ENOUGH = 16
 
@@ -44,14 +49,22 @@ class ImpactIndex:
         self.bounds = np.stack([np.searchsorted(np.sort(level[:, d]), steps) for d in range(dims)]) if dims else np.zeros((0, LEVELS + 1), int)
         self.least = self.low[:, None] + steps[:-1] * width[:, None]  # smallest value in each level
         self.most = np.minimum(self.least + width[:, None] - 1, self.high[:, None])
+        self.reach = max([1, *(max(abs(int(a)), abs(int(b)), int(b) - int(a)) for a, b in zip(self.low, self.high))])
+
+    def fits(self, q: np.ndarray) -> bool:
+        """Whether all sums of the search are exact."""
+        return 2 * len(q) * max(abs(int(q.min(initial=0))), int(q.max(initial=0))) * self.reach < EXACT
 
     def search(self, q: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """(exact scores, rows) of the possible members of the k best; the query's own id is no candidate."""
+        """(exact scores, rows) of the possible members of the k best; rows with the query's own id are no candidates."""
         n, dims = self.x.shape
         alive = self.ids != own
         k = min(k, int(alive.sum()))
         if not k:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not self.fits(q):
+            rows = np.flatnonzero(alive)
+            return long_scores(self.x[rows], q), rows
         up, weight = (q > 0)[:, None], np.abs(q)[:, None]
         # of each segment: the least and most that its postings add above the dimension's smallest contribution
         add_low = np.where(up, self.least - self.low[:, None], self.high[:, None] - self.most) * weight
@@ -78,12 +91,21 @@ class ImpactIndex:
         return self.x[members] @ q, members
 
 
+def long_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in Python's integers; one that a long can not hold is an error and no wrong number."""
+    scores = x.astype(object) @ q.astype(object)
+    if len(scores) and max(abs(int(v)) for v in scores) >= 1 << 63:
+        raise OverflowError("an inner product is beyond the range of a long")
+    return scores.astype(np.int64)
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best: score descending, then id."""
     return np.lexsort((ids, -scores))[:k]
 
 
-def _pad(rows: list, width: int) -> np.ndarray:
+def _matrix(rows: pd.Series, width: int) -> np.ndarray:
+    """Rows of integers as a matrix, shorter ones padded with zeros."""
     out = np.zeros((len(rows), width), dtype=np.int64)
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
@@ -91,44 +113,49 @@ def _pad(rows: list, width: int) -> np.ndarray:
 
 
 def _search(k: int):
-    def run(vectors: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         shape = {"query_id": "int64", "vec_id": "int64", "score": "int64"}
-        if not len(vectors) or not len(blocks):
+        if not len(vectors) or not len(queries):
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in shape.items()})
         vectors = vectors.sort_values("vec_id")
-        width = max(max(map(len, vectors["x"])), max(len(x) for b in blocks["block"] for x in (r["x"] for r in b)))
-        index = ImpactIndex(vectors["vec_id"].to_numpy(), _pad(list(vectors["x"]), width))
+        width = max(*map(len, vectors["x"]), *map(len, queries["x"]))
+        index = ImpactIndex(vectors["vec_id"].to_numpy(), _matrix(vectors["x"], width))
         out = []
-        for block in blocks["block"]:
-            for r in block:
-                scores, rows = index.search(_pad([r["x"]], width)[0], k, r["vec_id"])
-                top = best(scores, index.ids[rows], k)
-                out.append((np.full(len(top), r["vec_id"]), index.ids[rows][top], scores[top]))
+        for own, q in zip(queries["vec_id"], _matrix(queries["x"], width)):
+            scores, rows = index.search(q, k, own)
+            top = best(scores, index.ids[rows], k)
+            out.append((np.full(len(top), own), index.ids[rows][top], scores[top]))
         return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(shape)})
 
     return run
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, x array<bigint>; an id with several vectors keeps the smallest of them."""
-    fit = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    x = F.transform("embedding", lambda v: F.floor(F.lit(scale) * v.cast("double")).cast("bigint"))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fit).select(F.col("vec_id").cast("bigint").alias("vec_id"), x.alias("x")).groupBy("vec_id").agg(F.min("x").alias("x"))
+    """vec_id, x array<bigint>, a row for each row that takes part; repeated ids and rows are kept.
+
+    Rows with a null id or vector, or with a component that is null, not finite or too large for an integer (LARGEST), take
+    no part.
+    """
+    whole = lambda v: F.floor(F.lit(scale) * v.cast("double"))
+    far = lambda v: F.lit(scale) * F.abs(v.cast("double")) >= F.lit(float(LARGEST))
+    fit = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & ~far(v))
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(F.coalesce(fit, F.lit(False)))
+    return rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform("embedding", lambda v: F.when(far(v), F.lit(0)).otherwise(whole(v)).cast("bigint")).alias("x"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row of queries (vec_id, x) its k best of vectors (vec_id, x).
+    """query_id, rank, vec_id, score: for each id of queries (vec_id, x) its k best of the rows of vectors (vec_id, x).
 
-    A row is not a candidate for the query of its own id; ties go to the smaller vec_id; with fewer candidates than k
-    all are returned. Vectors of different lengths are padded with zeros. Empty tables give empty results.
+    Rows with the query's own id are no candidates; all others are, repeated ones each for itself. Several queries of one id
+    are ranked together. Ties go to the smaller vec_id; with fewer candidates than k all are returned. Vectors of different
+    lengths are padded with zeros; a product that a long can not hold is an error. Empty tables give empty results.
     """
-    n = vectors.count()
-    shards = max(1, -(-n // SHARD_ROWS))
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    blocks = queries.select(F.struct("vec_id", "x").alias("q"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, -(-n // (EVERY * BLOCK_ROWS))))).alias("b"))
-    packed = blocks.groupBy("b").agg(F.collect_list("q").alias("block"))
-    each = packed.select("block", F.explode(F.expr(f"sequence(0, {shards - 1})")).alias("shard"))
-    found = dealt.groupBy("shard").cogroup(each.groupBy("shard")).applyInPandas(_search(k), "query_id bigint, vec_id bigint, score bigint")
+    shards, groups = (max(1, -(-df.count() // rows)) for df, rows in ((vectors, SHARD_ROWS), (queries, GROUP_ROWS)))
+    deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", "x", F.lit(salt)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.select("vec_id", "x", deal(shards, 0).alias("shard"), every(groups).alias("group"))
+    right = queries.select("vec_id", "x", deal(groups, 1).alias("group"), every(shards).alias("shard"))
+    found = left.groupBy("shard", "group").cogroup(right.groupBy("shard", "group")).applyInPandas(_search(k), "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))  # limits each task's rows before the shuffle too
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
