@@ -3,8 +3,10 @@
 The pieces and scores of a model file are taken as a unigram lexicon: a text's pieces are those of the highest sum of
 scores (of equal ones, that whose last piece is the longest). Pieces have space marks at their beginning only or are runs
 of marks, so texts fall to units that begin at a run of marks, and units are solved once per chunk. Units of equal length advance together: for each end and piece length, hashes of all their substrings probe the sorted keys of the
-pieces of that length, and vectorised maxima store backpointers. Characters in no piece become byte pieces. A space mark
-in the text itself becomes byte pieces too, so that decoding restores every text exactly.
+pieces of that length, and vectorised maxima store backpointers. Units of more than LONG characters have all their substrings
+probed at once, and the maxima taken one position after the other. Hashes only find: units taken as one are compared character
+by character, and so are the pieces of every best path. Characters in no piece become byte pieces. A space mark in the text
+itself becomes byte pieces too, so that decoding restores every text exactly.
 
 Scale: one pass over the texts, no shuffle; the lexicon (the model's pieces, some hundred kB) goes to the tasks.
 """
@@ -28,6 +30,10 @@ MARK, NEWLINE = 0x2581, 10
 #: stands for a space mark that the text itself has
 OWN_MARK = 0x110000
 UNKNOWN = 1 << 24
+#: Units of more characters than this are solved one at a time.
+LONG = 256
+#: Positions of a long unit whose substrings are probed at once.
+PROBES = 1 << 16
 #: A character in no piece costs this much more than the worst piece.
 UNKNOWN_COST = 10.0
 BASE, LENGTH_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -85,6 +91,10 @@ class Lexicon:
             rows.sort()
             self.tables[size] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows]))
         self.longest = max(self.tables, default=1)
+        spelled = [np.array([ord(c) for c in piece], dtype=np.uint32) for piece, _ in pieces]
+        self.codes_at = np.concatenate([[0], np.cumsum([len(x) for x in spelled])]).astype(np.int64)
+        self.codes = np.concatenate(spelled) if spelled else np.zeros(0, np.uint32)
+        self.exact = {piece: (i, score) for i, (piece, score) in enumerate(pieces) if not (byte[i] or special[i] or chr(MARK) in piece.lstrip(chr(MARK)) or chr(NEWLINE) in piece)}
         self.text = np.frombuffer(b"".join(text), dtype=np.uint8)
         self.text_at = np.concatenate([[0], np.cumsum([len(t) for t in text])]).astype(np.int64)
 
@@ -130,6 +140,77 @@ class Lexicon:
             out[last[rows] - 1 - k] = ids
         return out, count
 
+    def solve_long(self, sums: np.ndarray, inverse: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The best path of one unit of any length, as solve() gives it. sums: size + 1 prefix sums; inverse, codes: size."""
+        size = len(codes)
+        best, back, piece = [0.0] + [-np.inf] * size, [0] * (size + 1), [0] * (size + 1)
+        for low in range(0, size, PROBES):
+            high = min(low + PROBES, size)
+            ends, starts, ids, scores = [], [], [], []
+            for length in range(self.longest, 0, -1):  # of equal values the longest piece is met first
+                begin = np.arange(max(0, low + 1 - length), high + 1 - length)
+                if length == 1:
+                    value, own = np.full(len(begin), self.unknown), UNKNOWN + codes[begin]
+                elif length not in self.tables or not len(begin):
+                    continue
+                if length in self.tables:
+                    keys, all_ids, all_scores = self.tables[length]
+                    key = (sums[begin + length] - sums[begin]) * inverse[begin]
+                    at = np.searchsorted(keys, key)
+                    at[at == len(keys)] = 0
+                    hit = keys[at] == key
+                    if length == 1:
+                        value, own = np.where(hit, all_scores[at], value), np.where(hit, all_ids[at], own)
+                    else:
+                        begin, value, own = begin[hit], all_scores[at[hit]], all_ids[at[hit]]
+                ends.append(begin + length)
+                starts.append(begin)
+                ids.append(own)
+                scores.append(value)
+            ends, starts, ids, scores = (np.concatenate(x) for x in (ends, starts, ids, scores))
+            order = np.argsort(ends, kind="stable")
+            for end, start, own, score in zip(*(x[order].tolist() for x in (ends, starts, ids, scores))):
+                if (value := score + best[start]) > best[end]:
+                    best[end], back[end], piece[end] = value, end - start, own
+        out, at = [], size
+        while at:
+            out.append(piece[at])
+            at -= back[at]
+        return np.array(out[::-1], dtype=np.int64)
+
+    def solve_exactly(self, codes: np.ndarray) -> np.ndarray:
+        """The same from the pieces themselves, without hashes: for units in which a hash met another piece's."""
+        text = "".join(chr(c) if c != OWN_MARK else "\0" for c in codes.tolist())
+        best, back, piece = [0.0] + [-np.inf] * len(text), [0] * (len(text) + 1), [0] * (len(text) + 1)
+        for end in range(1, len(text) + 1):
+            for length in range(min(end, self.longest), 0, -1):
+                start = end - length
+                found = self.exact.get(text[start:end]) if OWN_MARK not in codes[start:end] else None
+                if found is None and length == 1:
+                    found = (UNKNOWN + int(codes[start]), self.unknown)
+                if found is not None and (value := found[1] + best[start]) > best[end]:
+                    best[end], back[end], piece[end] = value, length, found[0]
+        out, at = [], len(text)
+        while at:
+            out.append(piece[at])
+            at -= back[at]
+        return np.array(out[::-1], dtype=np.int64)
+
+    def spells(self, flat: np.ndarray, count: np.ndarray, codes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Which ragged rows of count ids (or UNKNOWN + code) are made of the same characters as the rows of size codes."""
+        known = flat < UNKNOWN
+        at = np.where(known, flat, 0)
+        length = np.where(known, self.codes_at[at + 1] - self.codes_at[at], 1)
+        owner = np.repeat(np.arange(len(count)), count)
+        ok = np.bincount(owner, weights=length, minlength=len(count)).astype(np.int64) == size
+        pick = ranges(np.where(known, self.codes_at[at], 0), length)
+        spelled = np.where(np.repeat(known, length), self.codes[pick], np.repeat(flat - UNKNOWN, length))
+        fine = np.repeat(ok, size)
+        rows = np.repeat(np.arange(len(size)), size)[fine]
+        wrong = spelled[np.repeat(ok[owner], length)] != codes[fine]
+        ok[rows[wrong]] = False
+        return ok
+
     def spell(self, flat: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unknown characters replaced by byte pieces, in ragged rows of count ids."""
         unknown = np.flatnonzero(flat >= UNKNOWN)
@@ -151,6 +232,16 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes)
 
 
+def unlike(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Which ranges of codes differ from the range that model names for each."""
+    wrong = sizes != sizes[model]
+    rows = np.flatnonzero(~wrong & (model != np.arange(len(model))))
+    same = codes[ranges(starts[rows], sizes[rows])] == codes[ranges(starts[model[rows]], sizes[rows])]
+    owner = np.repeat(np.arange(len(rows)), sizes[rows])
+    wrong[rows[np.unique(owner[~same])]] = True
+    return np.flatnonzero(wrong)
+
+
 #: Cells of a table (units x positions) that one step of the Viterbi may hold.
 CELLS = 1 << 18
 
@@ -178,18 +269,33 @@ def encode_texts(texts: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndar
     sums = prefix_sums(codes, powers)
     keys = (sums[starts + sizes] - sums[starts]) * inverse[starts] + sizes.astype(np.uint64) * LENGTH_MIX
     _, sample, which = np.unique(keys, return_index=True, return_inverse=True)
+    other = unlike(codes, starts, sizes, sample[which])  # units that only share a key with the one taken for them
+    which[other] = len(sample) + np.arange(len(other))
+    sample = np.concatenate([sample, other])
     u_start, u_size = starts[sample], sizes[sample]
     order = np.argsort(u_size, kind="stable")
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     bounds = np.flatnonzero(np.diff(u_size[order], prepend=-1, append=-1))
     for a, b in zip(bounds[:-1], bounds[1:]):
         size = int(u_size[order[a]])
+        if size > LONG:
+            for row in order[a:b]:
+                at = u_start[row]
+                one = lexicon.solve_long(sums[at : at + size + 1], inverse[at : at + size], codes[at : at + size].astype(np.int64))
+                parts.append((np.array([row]), one, np.array([len(one)])))
+            continue
         step = max(1, CELLS // (size + 1))
         for at in range(a, b, step):
             rows = order[at : min(at + step, b)]
             grid = u_start[rows][:, None] + np.arange(size + 1)
             parts.append((rows, *lexicon.solve(sums[grid], inverse[grid[:, :-1]], codes[grid[:, :-1]].astype(np.int64), size)))
     rows, flat, count = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    fine = lexicon.spells(flat, count, codes[ranges(u_start[rows], u_size[rows])].astype(np.int64), u_size[rows])
+    if not fine.all():
+        each = np.split(flat, np.cumsum(count)[:-1])
+        for k in np.flatnonzero(~fine):
+            each[k] = lexicon.solve_exactly(codes[u_start[rows[k]] : u_start[rows[k]] + u_size[rows[k]]])
+        flat, count = np.concatenate(each), np.array([len(x) for x in each])
     flat, count = lexicon.spell(flat, count)
     u_at, u_count = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
     u_at[rows], u_count[rows] = np.cumsum(count) - count, count
@@ -219,7 +325,8 @@ def decode_ids(ids: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> pa.Arr
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """docs (text, any other columns) with ids array<int> for each row; a column of that name is replaced.
 
-    Null and empty texts have no ids; repeated rows are kept; an empty table gives an empty result.
+    Null and empty texts have no ids; repeated rows are kept; a text of any length is encoded whole, one without spaces as a
+    single unit; an empty table gives an empty result.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -72,15 +72,30 @@ def test_top_k(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(120)]
     rows[7] = (7, rows[0][1])
-    bad = [(200, None), (201, [float("nan")] * 6), (202, [None] * 6), (None, [1.0] * 6), (3, rows[3][1])]
-    v = top_k.integer_vectors(spark.createDataFrame(rows + bad, "vec_id bigint, embedding array<float>"))
+    rows += [(3, rows[3][1]), (3, rows[9][1]), (50, rows[50][1]), (8, [9.0] * 6), (8, [9.0] * 6), (9, [1.0])]  # repeated ids and rows, a short one
+    bad = [(200, None), (201, [float("nan")] * 6), (202, [None] * 6), (None, [1.0] * 6), (203, [float("inf")] * 6), (204, [3e38] * 6)]
+    v = top_k.integer_vectors(spark.createDataFrame([(*r, 1) for r in rows + bad], "vec_id bigint, embedding array<float>, score int").select("vec_id", "embedding"))
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_k.top_k(v, v.where("vec_id % 50 = 0")).collect())
-    ints = {i: np.floor(256 * np.array(x, np.float32).astype(float)).astype(int) for i, x in rows}
-    want = [(q, k + 1, i, s) for q in (0, 50, 100) for k, (s, i) in enumerate((-a, b) for a, b in sorted((-int(ints[q] @ ints[i]), i) for i in ints if i != q)[:5])]
+    ints = [(i, np.floor(256 * np.pad(np.array(x, np.float32), (0, 6 - len(x))).astype(float)).astype(int)) for i, x in rows]
+    want = []
+    for q in (0, 50, 100):
+        scores = sorted((-int(x @ y), i) for j, x in ints if j == q for i, y in ints if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
     assert got == sorted(want)
     assert top_k.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_top_k_deals_queries_and_vectors(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "SHARD_ROWS", 40)
+    monkeypatch.setattr(top_k, "GROUP_ROWS", 3)
+    rng = np.random.default_rng(1)
+    x = rng.integers(-9, 9, (200, 4))
+    v = spark.createDataFrame([(i, [int(c) for c in r]) for i, r in enumerate(x)], "vec_id bigint, x array<bigint>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_k.top_k(v, v.where("vec_id % 10 = 0")).collect())
+    want = [(q, k + 1, i, -s) for q in range(0, 200, 10) for k, (s, i) in enumerate(sorted((-int(x[q] @ x[i]), i) for i in range(200) if i != q)[:5])]
+    assert got == sorted(want)
+
+
 def test_chat(spark):
     rows = [(1, 1, "assistant", "b\\</turn>## ### x"), (1, 0, "user", None), (1, 2, None, "t"), (2, 0, "user", "only"), (None, 0, "a:b\\", "q"), (1, 1, "assistant", "b\\</turn>## ### x")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id bigint, turn bigint, role string, text string, example int")
@@ -189,6 +204,28 @@ def test_equal_fingerprints_are_only_candidates(spark):
     assert {6, 7, 8, 9, 10, 11} <= {r["doc_id"] for r in got}
 
 
+@pytest.mark.parametrize("held", [(4096, 4 << 20), (7, 4 << 20), (4096, 900)])
+def test_pairs_that_thin_links_leave_out(spark, monkeypatch, held):
+    """Many texts of one fingerprint and around it, some alike: whole buckets and buckets in blocks give what all pairs give."""
+    monkeypatch.setattr(near_dedup_stage, "HELD_SETS", held[0])
+    monkeypatch.setattr(near_dedup_stage, "HELD_SHINGLES", held[1])
+    rng, texts = np.random.default_rng(7), []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(40)]
+        texts += [" ".join(w if rng.random() > 0.02 else f"e{rng.integers(9000)}" for w in base) for _ in range(6)]
+    digests, sets = near_dedup_stage.shingle_sets(pa.array(texts))
+    fps = [int(rng.choice([0, 1, 3, 1 << 40])) if i % 3 else -1 for i in range(len(texts))]
+    nodes = spark.createDataFrame([(i, bytearray(d), f, len(x) // 8, i) for i, (d, x, f) in enumerate(zip(digests, sets, fps))], "node bigint, digest binary, fp bigint, size int, doc_id bigint")
+    label = list(range(len(texts)))
+    for k in range(len(texts)):
+        for j in range(k):
+            if ((fps[k] ^ fps[j]) & (2**64 - 1)).bit_count() <= 9 and near_dedup_stage.jaccard(sets[k], sets[j]) >= 0.8:
+                old, new = max(label[k], label[j]), min(label[k], label[j])
+                label = [new if x == old else x for x in label]
+    got = near_dedup_stage.near_components(cut(nodes), spark.createDataFrame(list(enumerate(texts)), SHAPE), 9, 0.8).collect()
+    assert len(set(label)) < len(texts) and [r["label"] for r in sorted(got, key=lambda r: r["node"])] == label
+
+
 def test_sentencepiece(spark, docs):
     out = sentencepiece_codec.decode(sentencepiece_codec.encode(docs)).collect()
     assert all(r["decoded"] == (r["text"] or "") for r in out) and len(out) == len(DOCS)

@@ -10,7 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomgraph.llm import decontaminate, line_dedup, secret_scan, simhash, top_k, toxicity
+from loomgraph.llm import decontaminate, line_dedup, secret_scan, sentencepiece_codec, simhash, top_k, toxicity
 from loomgraph.llm.common import chunks, runs, string_views, text_buffer
 from loomgraph.llm.cuckoo import CuckooFilter
 from loomgraph.llm.fm_index import FMIndex
@@ -181,6 +181,15 @@ def test_impact_index_is_exact():
         assert got == want
 
 
+def test_large_products_are_exact_or_an_error():
+    x = np.array([[1 << 40, 1], [1 << 40, 0], [-(1 << 40), 7], [5, 5]])
+    index = top_k.ImpactIndex(np.arange(4), x)
+    scores, rows = index.search(np.array([1 << 20, 1]), 2, 9)
+    assert [(int(scores[i]), int(rows[i])) for i in top_k.best(scores, rows, 2)] == [((1 << 60) + 1, 0), (1 << 60, 1)]
+    with pytest.raises(OverflowError):
+        index.search(np.array([1 << 30, 1]), 2, 9)
+
+
 def test_swapped_names_stop_counting():
     names = toxicity.GROUPS[0].split()
     rng = np.random.default_rng(4)
@@ -198,3 +207,66 @@ def test_swapped_names_stop_counting():
     held, _ = toxicity.fit_weights(rows, np.array(label, float), pairs, len(words), 50.0)
     gap = lambda w: abs(w[place["muslim"]] - w[place[swap[0]]])
     assert gap(held) < 0.3 * gap(free) and held[place["awful"]] > 1
+
+
+@pytest.fixture(scope="module")
+def lexicon():
+    return sentencepiece_codec.Lexicon()
+
+
+def viterbi(lexicon, text):
+    """Best paths by a dictionary of the pieces: the highest sum, of equal ones the longest last piece."""
+    text = " " + text if text else ""
+    best = [(0.0, [])]
+    for end in range(1, len(text) + 1):
+        found = []
+        for start in range(max(0, end - lexicon.longest), end):
+            part = text[start:end].replace(" ", "\u2581")
+            own = "\u2581" in text[start:end]  # a mark of the text itself is no space
+            piece = None if own else lexicon.exact.get(part)
+            if piece is None and end - start == 1:
+                raw = text[start:end].encode()
+                piece = ([int(lexicon.byte_ids[b]) for b in raw], lexicon.unknown)
+            elif piece is not None:
+                piece = ([piece[0]], piece[1])
+            if piece:
+                found.append((best[start][0] + piece[1], end - start, best[start][1], piece[0]))
+        score, _, before, ids = max(found, key=lambda f: (f[0], f[1]))
+        best.append((score, before + ids))
+    return best[-1][1]
+
+
+@given(st.lists(st.text(alphabet="abest hing\n\u2581é漢 ", max_size=40), min_size=1, max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_encoding_is_the_best_path(lexicon, rows):
+    ids, at = sentencepiece_codec.encode_texts(pa.array(rows), lexicon)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [viterbi(lexicon, t) for t in rows]
+    assert sentencepiece_codec.decode_ids(ids, at, lexicon).to_pylist() == rows
+
+
+def test_words_of_the_corpus_are_best_paths(lexicon):
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist() if t and len(t) < 3000][:60]
+    ids, at = sentencepiece_codec.encode_texts(pa.array(texts), lexicon)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [viterbi(lexicon, t) for t in texts]
+
+
+def test_units_that_share_a_hash_stay_apart(lexicon):
+    for n in (1024, 2048):  # polynomial hashes modulo 2**64 can not tell these two
+        morse = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        pair = [morse, morse.translate(str.maketrans("ab", "ba")), morse]
+        ids, at = sentencepiece_codec.encode_texts(pa.array(pair), lexicon)
+        assert sentencepiece_codec.decode_ids(ids, at, lexicon).to_pylist() == pair
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [viterbi(lexicon, t) for t in pair]
+
+
+def test_long_units_and_exact_paths_agree(lexicon):
+    rng = np.random.default_rng(8)
+    text = "".join(rng.choice(list("etaoinshrdlu.é"), 400_000))
+    ids, at = sentencepiece_codec.encode_texts(pa.array([text, text[:3000]]), lexicon)
+    assert sentencepiece_codec.decode_ids(ids, at, lexicon).to_pylist() == [text, text[:3000]]
+    assert ids[at[1] : at[2]].tolist() == viterbi(lexicon, text[:3000])
+    codes = np.array([0x2581, *(ord(c) for c in "something é")])
+    flat, count = lexicon.spell(lexicon.solve_exactly(codes[:10]), np.array([1]))
+    assert flat.tolist() == viterbi(lexicon, "something")
