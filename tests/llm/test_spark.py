@@ -271,12 +271,83 @@ def test_lm_scores(spark, docs):
     assert sorted(round(r["base_score"], 6) for r in rows) == want and {r["train_tokens"] for r in rows} == {n}
 
 
-def test_lm_components_count_all_training_documents(spark):
-    rows = [(i, f"some words of text {i % 5} and w{i % 3} more") for i in range(40)]
-    few, all_ = (lm_scoring.fit(spark.createDataFrame(rows[:n], SHAPE), sample=4) for n in (4, 40))
-    batch, first, *_ = lm_scoring.blocks_of(np.full(90, 9, np.int32), *(np.zeros(90, np.float32),) * 3, np.array([0, 40, 90]))
-    assert np.isclose(all_.lm.expected(batch, first).sum(), 92)  # without counts to trust each token is the mixture's
-    assert all_.lm.sums.sum() > 2 * few.lm.sums.sum() > 10
+def test_lm_trains_on_windows_of_all_documents(spark, monkeypatch):
+    rows = [(i, f"some words of text {i % 5} and w{i % 3} more " * 4) for i in range(40)]
+    seen = []
+    real = lm_scoring.train_everywhere
+    monkeypatch.setattr(lm_scoring, "train_everywhere", lambda *args: seen.append(real(*args, every=1)))
+    for n in (4, 40):
+        lm_scoring.fit(spark.createDataFrame(rows[:n], SHAPE), sample=4)
+    assert seen[1] > 9 * seen[0] > 0
+
+
+@pytest.fixture(scope="module")
+def scorer(spark):
+    rng = np.random.default_rng(2)
+    words = [f"{a}{b}" for a in ("some", "under", "inter", "xq") for b in ("thing", "stand", "ing", "zzk", "")]
+    return lm_scoring.fit(spark.createDataFrame([(i, " ".join(rng.choice(words, 30))) for i in range(60)], SHAPE))
+
+
+def test_lm_probabilities_of_all_pieces_sum_to_one(scorer):
+    sub, lm = scorer.subwords, scorer.lm
+    assert (sub.share < 1).sum() > 30_000  # most pieces have no number of their own
+    for word in ("something", "xq", "unseenword", "s"):
+        known, count = lm_scoring.pieces_of([word], sub.model)
+        k = len(known)
+        n, inside = sub.counts.find(lm_scoring.prefix_keys(known, count))
+        following = lm_scoring.prefix_keys(np.concatenate([np.append(known, y) for y in range(len(sub.place))]), np.full(len(sub.place), k + 1))
+        more, _ = sub.counts.find(following.reshape(-1, k + 1)[:, -1])
+        end, _ = sub.counts.find(lm_scoring.end_keys(lm_scoring.prefix_keys(known, count)[-1:]))
+        place = np.append(sub.place, lm_scoring.EOS)
+        starts = lm.starts[place]
+        low = max(n[-1], 1)
+        total = len(place)
+        shape = (total, lm_scoring.BLOCK)
+        ints, floats = [np.zeros(shape, np.int32) for _ in range(3)], [np.zeros(shape, np.float32) for _ in range(3)] + [np.ones(shape, np.float32)]
+        tokens = [lm_scoring.PAD, lm_scoring.BOS, *sub.place[known]]
+        ints[0][:, : k + 1], ints[1][:, : k + 1], ints[2][:, k] = tokens[:-1], tokens[1:], place
+        floats[0][:, k] = np.where(starts, end[0], np.append(more, 0)) / low if n[-1] else 0
+        floats[1][:, k], floats[2][:, k] = np.clip(1 - inside[-1] / low, 0, 1) if n[-1] else 0, np.log10(1 + n[-1])
+        floats[3][:, k] = np.append(sub.share, 1)
+        logs = lm.log10(lm_scoring.Batch(*ints, *floats), np.ones(total, bool))[:, k]
+        assert abs((10**logs).sum() - 1) < 2e-3, word
+
+
+def test_lm_windows_score_each_token_as_one_by_one(scorer):
+    lm, b = scorer.lm, lm_scoring.BLOCK
+    texts = pa.array(["something under " * 25 + "xqzzk", "", "a", "interstand some " * 9])
+    words, at, offsets = lm_scoring.words_of(texts)
+    batch, first, place, begin, size = lm_scoring.blocks_of(*lm_scoring.streams(at, offsets, scorer.subwords(words.to_pylist())))
+    got = lm.log10(batch, first, step=3).ravel()[place]
+    w, d = lm.weights, lm_scoring.AttentionLM.start(np.ones(9) / 9, np.ones(9, bool)).weights["tok"].shape[1]
+    flat = {n: getattr(batch, n).ravel()[place] for n in batch.__dataclass_fields__}
+    for start, n in zip(begin, size):
+        x = [w["tok"][flat["token"][i]] + w["pair"][lm_scoring_pair(flat["before"][i], flat["token"][i])] for i in range(start, start + n)]
+        for i in range(n):
+            keys = range(max(0, i // b * b - b), i + 1)  # its own block up to itself, and the block before
+            q = x[i] @ w["qkv"][:, :d] / d**0.5
+            weight = np.exp([q @ (x[j] @ w["qkv"][:, d : 2 * d]) + w["dist"][i - j] for j in keys])
+            a = sum(u * (x[j] @ w["qkv"][:, 2 * d :]) for u, j in zip(weight, keys)) / weight.sum()
+            o = np.maximum(np.concatenate([x[i], a]) @ w["w1"] + w["b1"], 0) @ w["w2"] + w["b2"]
+            gate = np.exp(o[:-1]) / np.exp(o[:-1]).sum()
+            at_, share = flat["target"][start + i], flat["share"][start + i]
+            sure, rest, ratio = (float(flat[c][start + i]) for c in ("sure", "rest", "ratio"))
+            mix, starts = float(gate @ lm.emit[at_]) * share, float(gate @ lm.begin)
+            trust = 1 / (1 + np.exp(-(o[-1] + w["known"][0] * sure + w["known"][1] * rest))) if sure > 0 else 0.0
+            told = (ratio * mix / starts if lm.starts[at_] else ratio) + rest * mix
+            assert abs(np.log10((1 - trust) * mix + trust * told) - got[start + i]) < 2e-3
+    assert len(got) == len(at_pieces(scorer, texts)) + len(texts)
+
+
+def lm_scoring_pair(before, token):
+    from loomgraph.llm.attention_lm import pair_place
+
+    return pair_place(np.array([before]), np.array([token]))[0]
+
+
+def at_pieces(scorer, texts):
+    words = [w for t in texts.to_pylist() for w in re.findall(r"[^\x20\x09-\x0D]+", low(t))]
+    return lm_scoring.pieces_of(words, scorer.subwords.model)[0]
 
 
 def test_toxicity_penalty_spares_neutral_mentions(spark):

@@ -10,7 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomgraph.llm import decontaminate, line_dedup, secret_scan, sentencepiece_codec, simhash, top_k, toxicity
+from loomgraph.llm import decontaminate, line_dedup, lm_scoring, secret_scan, sentencepiece_codec, simhash, top_k, toxicity
 from loomgraph.llm.common import chunks, runs, string_views, text_buffer
 from loomgraph.llm.cuckoo import CuckooFilter
 from loomgraph.llm.fm_index import FMIndex
@@ -270,3 +270,28 @@ def test_long_units_and_exact_paths_agree(lexicon):
     codes = np.array([0x2581, *(ord(c) for c in "something é")])
     flat, count = lexicon.spell(lexicon.solve_exactly(codes[:10]), np.array([1]))
     assert flat.tolist() == viterbi(lexicon, "something")
+
+
+def test_training_windows_are_the_texts():
+    """All windows of texts put one after the other read every token of each text once."""
+    words = [0, 25, 12, 1]  # of each text; word w has w % 3 + 1 pieces
+    at = np.concatenate([np.arange(n) for n in words])
+    offsets = np.concatenate([[0], np.cumsum(words)])
+    count = np.arange(25) % 3 + 1
+    number = 100 + np.arange(count.sum())
+    word = (number, *(number / 1000.0 for _ in range(4)), count)
+    pick, edges, begins, closes = lm_scoring.chosen_windows(at, offsets, np.array([3, 5, 7, 9]), every=1)
+    b = lm_scoring.window_rows(*lm_scoring.streams(pick, edges, word), begins, closes)
+    live = b.target != lm_scoring.PAD
+    pieces = [np.concatenate([np.arange((np.cumsum(count) - count)[w], np.cumsum(count)[w]) for w in range(n)]) + 100 if n else np.zeros(0, int) for n in words]
+    assert b.target[live & (b.target == lm_scoring.EOS)].size == 4 and (b.token[live] == lm_scoring.BOS).sum() == 4
+    inner = live & (b.target != lm_scoring.EOS)
+    # windows of 12 words: all pieces but the first of the windows inside a text are targets
+    assert inner.sum() == sum(map(len, pieces)) - 2
+    read = live & (b.token != lm_scoring.BOS)
+    assert np.allclose(b.ratio[read], b.token[read] / 1000) and np.allclose(b.share[inner], b.target[inner] / 1000)
+    follow = inner & (b.token != lm_scoring.BOS)
+    pairs = {(x, y) for p in pieces for x, y in zip(p, p[1:])}
+    assert set(zip(b.token[follow].tolist(), b.target[follow].tolist())) <= pairs
+    few = lm_scoring.chosen_windows(np.zeros(12_000, int), np.array([0, 12_000]), np.array([1]), every=10)[1]
+    assert 60 < len(few) - 1 < 140
