@@ -2,7 +2,9 @@
 
 Three pattern kinds (assign, access, hex) are reported as they match. Further candidates (dotted tokens, base64 and hex
 runs, armoured blocks) are decoded and only reported if their structure holds: a signed token's header must be JSON
-with an algorithm, a key's nested ASN.1 lengths must add up, an SSH key's length-prefixed fields must fill it.
+with an algorithm; a private key's nested ASN.1 lengths must add up and its fields be those of one of the private shapes;
+an OpenSSH private key's length-prefixed fields must fill it; an encrypted block must say its cipher and hold whole blocks
+of it. Signatures, certificates and public keys are no secrets and are not reported.
 
 Scale: one pass over the texts, no shuffle. A vectorised look at the bytes of a chunk finds the texts that can match at
 all; the patterns then run over those whole texts.
@@ -28,9 +30,14 @@ KINDS = ["assign", "access", "hex", "jwt", "pem", "der", "ssh"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+#: A JSON object's first bytes in base64: a brace, then a quote or white space.
+JWT_STARTS = ("eyJ", "eyA", "ewo", "ew0", "ewk")
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(?:eyJ|eyA|ewo|ew0|ewk)[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----\s*((?:[A-Za-z0-9-]+: [^\n]*\n)*)([A-Za-z0-9+/=\s]*)-----END \1-----")
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+HEX_DIGITS = re.compile(r"[0-9A-Fa-f]{64,}")
+#: How base64 of a key begins: of a SEQUENCE, of the private container of OpenSSH.
+ENCODED_STARTS = ("M", "b3BlbnNzaC1rZXktdjEA")
 WORDS = (b"passw", b"secret", b"token", b"api")
 LONG = 32
 
@@ -69,29 +76,85 @@ def der_value(data: bytes, at: int, end: int, depth: int = 0) -> tuple[int, int,
     return tag, body, stop
 
 
+def der_fields(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The ASN.1 values that fill data[at:end], or None."""
+    out = []
+    while at < end:
+        if (x := der_value(data, at, end)) is None:
+            return None
+        out.append(x)
+        at = x[2]
+    return out
+
+
+INTEGER, OCTETS, OID, SEQUENCE, FIRST, SECOND = 0x02, 0x04, 0x06, 0x30, 0xA0, 0xA1
+# The beginnings of the object identifiers of password-based encryption (PKCS #5 and #12).
+PASSWORD_OIDS = (b"\x2a\x86\x48\x86\xf7\x0d\x01\x05", b"\x2a\x86\x48\x86\xf7\x0d\x01\x0c\x01")
+
+
+def algorithm_of(data: bytes, value: tuple[int, int, int]) -> bytes | None:
+    """The object identifier that a SEQUENCE begins with."""
+    fields = der_fields(data, value[1], value[2]) if value[0] == SEQUENCE else None
+    return data[fields[0][1] : fields[0][2]] if fields and fields[0][0] == OID and fields[0][2] - fields[0][1] >= 3 else None
+
+
 def is_der_key(data: bytes) -> bool:
-    """A SEQUENCE that fills data and begins with an INTEGER (private key) or a SEQUENCE that holds an OID (public key)."""
+    """A SEQUENCE that fills data and has the fields of a private key: PKCS #8 plain or encrypted, RSA, DSA, or SEC 1."""
     top = der_value(data, 0, len(data))
-    if top is None or top[0] != 0x30 or top[2] != len(data) or top[2] - top[1] < 16:
+    if top is None or top[0] != SEQUENCE or top[2] != len(data) or top[2] - top[1] < 16:
         return False
-    first = der_value(data, top[1], top[2])
-    if first is None or first[2] == top[2]:
+    fields = der_fields(data, top[1], top[2]) or []
+    tags = [f[0] for f in fields]
+    if tags[:2] == [SEQUENCE, OCTETS] and len(tags) == 2:
+        return (algorithm_of(data, fields[0]) or b"").startswith(PASSWORD_OIDS)
+    version = data[fields[0][1] : fields[0][2]] if tags[:1] == [INTEGER] else b""
+    if version not in (b"\0", b"\1"):
         return False
-    return first[0] == 0x02 or first[0] == 0x30 and data[first[1] : first[1] + 1] == b"\x06"
+    if tags[1:3] == [SEQUENCE, OCTETS]:  # PKCS #8: attributes and a public key may follow
+        return algorithm_of(data, fields[1]) is not None and all(t in (FIRST, SECOND, 0x81) for t in tags[3:])
+    if tags[1:2] == [OCTETS]:  # SEC 1: the scalar, then curve and public key
+        return version == b"\1" and 16 <= fields[1][2] - fields[1][1] <= 72 and all(t in (FIRST, SECOND) for t in tags[2:])
+    whole = all(t == INTEGER for t in tags[:9]) and all(f[2] > f[1] for f in fields)
+    if version == b"\0" and whole and len(tags) == 6:  # DSA: p, q, g, y, x
+        return fields[1][2] - fields[1][1] >= 64
+    return whole and (len(tags) == 9 or len(tags) == 10 and version == b"\1" and tags[9] == SEQUENCE)
+
+
+def ssh_field(data: bytes, at: int) -> tuple[bytes, int] | None:
+    """(a length-prefixed field at a place, where it ends), or None."""
+    n = int.from_bytes(data[at : at + 4], "big")
+    return (data[at + 4 : at + 4 + n], at + 4 + n) if at + 4 + n <= len(data) else None
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """Length-prefixed fields that fill data, the first of which names an algorithm; or the private container's magic."""
-    if data.startswith(b"openssh-key-v1\x00"):
-        return True
-    at, fields = 0, 0
-    while at + 4 <= len(data):
-        n = int.from_bytes(data[at : at + 4], "big")
-        field = data[at + 4 : at + 4 + n]
-        if len(field) < n or not fields and not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", field):
+    """OpenSSH's private container: cipher, key derivation, its options, number of keys, public keys, the private part."""
+    magic = b"openssh-key-v1\0"
+    at = len(magic)
+    if not data.startswith(magic):
+        return False
+    names = []
+    for _ in range(3):
+        if (x := ssh_field(data, at)) is None:
             return False
-        at, fields = at + 4 + n, fields + 1
-    return fields >= 2 and at == len(data)
+        names.append(x[0])
+        at = x[1]
+    keys = int.from_bytes(data[at : at + 4], "big")
+    if not all(re.fullmatch(rb"[a-z0-9@.-]+", n) for n in names[:2]) or not 1 <= keys <= 64:
+        return False
+    at += 4
+    for _ in range(keys):
+        public = ssh_field(data, at)
+        if public is None or (name := ssh_field(public[0], 0)) is None or not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", name[0]):
+            return False
+        at = public[1]
+    private = ssh_field(data, at)
+    return private is not None and private[1] == len(data) and len(private[0]) > 8 and len(private[0]) % 8 == 0
+
+
+def is_encrypted_block(headers: str, raw: bytes) -> bool:
+    """The headers of an encrypted PEM block name a cipher and its start, and the block is whole for that cipher."""
+    m = re.search(r"^DEK-Info: *[A-Za-z0-9-]+,([0-9A-Fa-f]+)\s*$", headers, re.M)
+    return bool(m) and "ENCRYPTED" in headers and len(m[1]) in (16, 32) and len(raw) >= 16 and len(raw) % (len(m[1]) // 2) == 0
 
 
 def unbase64(s: str) -> bytes | None:
@@ -115,22 +178,25 @@ def scan_text(text: str) -> list[tuple[int, int, int]]:
     """(start, rank of the kind, end) of all spans, sorted; code points, end exclusive."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    hexes = [(m.start(), m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= LONG]
-    out += [(a, 2, b) for a, b in hexes]
+    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= LONG]
     out += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
-    inside = []
+    keys = lambda raw: [k for k, ok in ((5, is_der_key), (6, is_ssh_key)) if ok(raw)]
+    blocks = []
     for m in PEM.finditer(text):
-        raw = unbase64(m[2])
-        if raw and (is_der_key(raw) or is_ssh_key(raw)):
+        raw = unbase64(m[3])
+        if raw and (is_encrypted_block(m[2], raw) if m[2] else keys(raw)):
             out.append((m.start(), 4, m.end()))
-            inside.append(m.span())
+            blocks.append(m.span())
+    blocks = iter([*blocks, (len(text) + 1, 0)])
+    begin, end = next(blocks)
     for m in ENCODED.finditer(text):
-        if not any(a <= m.start() < b for a, b in inside) and (raw := unbase64(m[0])):
-            out += [(m.start(), k, m.end()) for k, ok in ((5, is_der_key), (6, is_ssh_key)) if ok(raw)]
-    for a, b in hexes:
-        if (b - a) % 2 == 0:
-            raw = bytes.fromhex(text[a:b])
-            out += [(a, k, b) for k, ok in ((5, is_der_key), (6, is_ssh_key)) if ok(raw)]
+        while end and m.start() >= end:
+            begin, end = next(blocks)
+        if m.start() < begin and m[0].startswith(ENCODED_STARTS) and (raw := unbase64(m[0])):
+            out += [(m.start(), k, m.end()) for k in keys(raw)]
+    for m in HEX_DIGITS.finditer(text):
+        if len(m[0]) % 2 == 0 and m[0].startswith(("30", "6f70656e7373682d", "6F70656E7373682D")):
+            out += [(m.start(), k, m.end()) for k in keys(bytes.fromhex(m[0]))]
     return sorted(set(out))
 
 
@@ -138,7 +204,7 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Indexes of the texts in which a pattern can match."""
     at = [np.zeros(0, np.int64)]
     raw, low = data.tobytes(), LOWER_BYTES[data].tobytes()
-    for where, words in ((low, WORDS), (raw, (b"AKIA", b"-----BEGIN ", b"eyJ"))):
+    for where, words in ((low, WORDS), (raw, (b"AKIA", b"-----BEGIN ", *(x.encode() for x in JWT_STARTS)))):
         for word in words:
             found, k = [], where.find(word)
             while k >= 0:
@@ -180,7 +246,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, spans array<struct<kind, start, end>> (by start, then kind as in KINDS) for each row of docs (doc_id, text).
 
-    Null and empty texts have no spans; null ids and repeated rows are kept; other columns are left out.
+    Null and empty texts have no spans; null ids and repeated rows are kept; other columns are left out. Texts are scanned
+    whole, however long; an empty table gives an empty result.
     """
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_scan, "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
