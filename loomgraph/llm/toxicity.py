@@ -1,9 +1,10 @@
 """Toxicity: a counterfactual-regularised classifier.
 
-A logistic model of which words and word beginnings a text holds, fitted on labelled documents. Wherever a training text mentions a group of
-people, copies with that mention swapped for another group of its kind are made, and the change of the score between text
-and copy is penalised: what a score takes from a group's name alone is pressed to the same value for all groups of its
-kind, and neutral mentions stop counting as toxic.
+A logistic model of which words and word beginnings a text holds, fitted on labelled documents. Each training text has
+counterfactual copies, and the change of the score between text and copy is penalised. Where a text mentions a group of
+people, the mention is swapped for other groups of its kind; into other texts the names of a kind, chosen by the document's
+id, are put one by one. So what a score takes from a group's name alone is pressed to zero and to the same value for all
+groups of a kind, and neutral mentions stop counting as toxic.
 
 Scale: at most SAMPLE labelled documents (those with the smallest hashes of their ids) are fitted; their words are counted
 on the executors and only VOCABULARY significant ones and the sample's rows of them reach the driver. Scoring is one
@@ -15,6 +16,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,8 @@ class Model:
     words: list[str]
     weights: np.ndarray
     bias: float
+    #: Texts and copies whose change of score was penalised.
+    pairs: int = 0
 
 
 def text_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -81,12 +85,22 @@ def features(words: list[str]) -> set[str]:
     return out
 
 
-FEATURES = pa.schema([("toxic", pa.int32()), ("variant", pa.int32()), ("origin", pa.int64()), ("words", pa.list_(pa.string()))])
+FEATURES = pa.schema([("toxic", pa.int32()), ("variant", pa.int32()), ("origin", pa.int64()), ("words", pa.list_(pa.string())), ("lost", pa.list_(pa.string()))])
+FEATURE_ROW = "toxic int, variant int, origin bigint, words array<string>, lost array<string>"
+
+
+def with_name(have: set[str], starts: set[str], name: str) -> set[str]:
+    """The features that a text with these features, and these beginnings of its words, gains by one more word."""
+    gained = {name}
+    for size in BEGINNINGS:
+        if len(name) > size:
+            gained.update([name[:size] + "*", *([name[:size] + "**"] if name[:size] in starts else [])])
+    return gained - have
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row of distinct words for each text (variant 0) and each of its copies with swapped names."""
-    other = swaps()
+    """For each text a row of its features (variant 0), and for each copy what it gains (words) and loses by its names."""
+    other, kinds = swaps(), [line.split() for line in GROUPS]
     for b in chunks(batches, "text"):
         words, owner = text_words(b.column("text"))
         words = words.to_pylist()
@@ -94,24 +108,36 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for k, (toxic, origin) in enumerate(zip(b.column("toxic").to_pylist(), b.column("doc_id").to_pylist())):
             have = words[first[k] : first[k + 1]]
-            out.append((toxic, 0, origin, sorted(features(have))))
-            for shift in range(SHIFTS if any(w in other for w in have) else 0):
-                swapped = [other[w][shift % len(other[w])] if w in other else w for w in have]
-                out.append((toxic, shift + 1, origin, sorted(features(swapped))))
+            own = features(have)
+            out.append((toxic, 0, origin, sorted(own), []))
+            if any(w in other for w in have):
+                for shift in range(SHIFTS):
+                    swapped = features([other[w][shift % len(other[w])] if w in other else w for w in have])
+                    out.append((toxic, shift + 1, origin, sorted(swapped - own), sorted(own - swapped)))
+            else:
+                pick = crc32(str(origin).encode())
+                names = kinds[pick % len(kinds)]
+                starts = {w[:size] for size in BEGINNINGS for w in have if len(w) > size}
+                for shift in range(SHIFTS):
+                    name = names[(pick // len(kinds) + shift) % len(names)]
+                    out.append((toxic, shift + 1, origin, sorted(with_name(own, starts, name)), []))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), FEATURES)], schema=FEATURES)
 
 
 def _places(place: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            known = pa.array([[place[w] for w in ws if w in place] for ws in b.column("words").to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("variant"), b.column("origin"), known], names=["toxic", "variant", "origin", "places"])
+            known = [pa.array([[place[w] for w in ws if w in place] for ws in b.column(c).to_pylist()], pa.list_(pa.int32())) for c in ("words", "lost")]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("variant"), b.column("origin"), *known], names=["toxic", "variant", "origin", "places", "lost"])
 
     return run
 
 
 def fit_weights(rows: list[list[int]], toxic: np.ndarray, pairs: list[tuple[list[int], list[int]]], n: int, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise log loss + L2 |w|^2 + penalty * mean square change of the logit over pairs."""
+    """Weights and bias that minimise log loss + L2 |w|^2 + penalty * mean square change of the logit over pairs.
+
+    A pair is what a text and its copy have each that the other has not.
+    """
 
     def matrix(xs: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.array([i for x in xs for i in x], dtype=np.int64)
@@ -150,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
     once = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("text").alias("text"))
-    rows = cut(once.select("doc_id", "toxic", "text").mapInArrow(_features, "toxic int, variant int, origin bigint, words array<string>"))
+    rows = cut(once.select("doc_id", "toxic", "text").mapInArrow(_features, FEATURE_ROW))
     plain = rows.where("variant = 0")
     total = plain.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
     n, t = total["n"], total["t"] or 0
@@ -160,16 +186,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float
     share = t / n
     z = F.abs(F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * F.lit(max(share * (1 - share), 1e-9)))
     known = counts.where(z >= MIN_Z).orderBy(F.desc(z), "word").limit(VOCABULARY)
-    words = sorted({r["word"] for r in known.select("word").collect()} | set(swaps()))
+    names = {f for name in swaps() for f in features([name])}
+    words = sorted({r["word"] for r in known.select("word").collect()} | names)
     place = {w: i for i, w in enumerate(words)}
-    places = "toxic int, variant int, origin bigint, places array<int>"
+    places = "toxic int, variant int, origin bigint, places array<int>, lost array<int>"
     x = rows.mapInArrow(_places(place), places).toArrow().to_pandas()  # at most sample * (1 + SHIFTS) rows of places in the vocabulary
-    ids = {(o, v): p for o, v, p in zip(x["origin"], x["variant"], x["places"])}
-    label = dict(zip(zip(x["origin"], x["variant"]), x["toxic"]))
-    base = sorted(k for k in ids if k[1] == 0)
-    pairs = [(ids[(o, 0)], ids[(o, v)]) for o, v in sorted(ids) if v]
-    weights, bias = fit_weights([ids[k] for k in base], np.array([label[k] for k in base], dtype=float), pairs, len(words), penalty)
-    return Model(words, weights, bias)
+    x = x.sort_values(["origin", "variant"])
+    texts, copies = x[x["variant"] == 0], x[x["variant"] > 0]
+    pairs = list(zip(copies["lost"], copies["places"]))
+    weights, bias = fit_weights(list(texts["places"]), texts["toxic"].to_numpy(float), pairs, len(words), penalty)
+    return Model(words, weights, bias, len(pairs))
 
 
 def score_texts(texts: pa.Array, model: Model | None) -> np.ndarray:
