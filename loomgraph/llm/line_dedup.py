@@ -6,11 +6,13 @@ points count. A key found in two documents or more loses its lines in all but th
 State (class LineIndex): `filters`, one cuckoo filter per shard of key hashes; `counts`, one row per key with its number
 of lines and the smallest and largest document that holds it; `log`, one row per document and key. Filters say of most
 new keys that they are surely new, so that only the others meet the exact counts. Deleting documents takes their lines
-out of the counts and keys without lines out of the filters; a key whose keeper goes is given the next one.
+out of the counts and keys without lines out of the filters; a key whose keeper goes is given the next one. clean() drops
+from texts what the state says of their lines now; dedup_lines() puts documents into a new state and cleans them by it.
 
-Scale: documents are dealt to blocks by a hash, and each block sends a key once, so a line that a third of all documents
-share costs its shard one row per block. Shards answer blocks; a block's texts are shuffled once and meet the answers in
-a co-grouped pass. Keys are 128-bit hashes.
+Scale: a document sends each of its keys once, and these are summed on each task before the shuffle, so a line that a third
+of all documents share costs its shard a row per task. To clean, documents are dealt to blocks of about BLOCK_BYTES by a hash,
+and each block asks for each of its keys once; a block's texts are shuffled once and meet the answers in a co-grouped
+pass. Keys are 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,12 +31,14 @@ from .common import SPACES, chunks, cut, partitions, table
 from .cuckoo import CuckooFilter
 
 MIN_CHARS = 10
-BLOCKS_PER_PARTITION = 4
+#: Text of one block, and keys of one shard, about; there are at least as many of both as there are shuffle partitions.
+BLOCK_BYTES, SHARD_KEYS = 8 << 20, 1 << 18
 FLUSH_LINES = 1 << 20
-#: A null document id counts as one document, larger than all others.
+#: A null document id counts as one document, that of the largest id there can be.
 NO_ID = (1 << 63) - 1
-KEYS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("lines", pa.int64())])
-KEY_ROW = "shard int, block int, h1 bigint, h2 bigint, first_doc bigint, last_doc bigint, lines bigint"
+KEY = pa.schema([("shard", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("lines", pa.int64())])
+KEY_ROW = "shard int, h1 bigint, h2 bigint, doc_id bigint, lines bigint"
+ASKED_ROW = "block int, h1 bigint, h2 bigint"
 
 
 def line_keys(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,68 +61,48 @@ def starts_of(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _block_keys(shards: int):
-    """Each key once per block, as far as FLUSH_LINES lines at a time go."""
+def shard_of(h1: np.ndarray, shards: int) -> np.ndarray:
+    return (h1.astype(np.uint64) % np.uint64(shards)).astype(np.int32)
 
-    def flush(parts: list) -> pa.RecordBatch:
-        block, h1, h2, first, last, lines = (np.concatenate(c) for c in zip(*parts))
-        order = np.lexsort((h2, h1, block))
-        block, h1, h2 = block[order], h1[order], h2[order]
-        at = starts_of(block, h1, h2)
-        shard = (h1[at].astype(np.uint64) % np.uint64(shards)).astype(np.int32)
-        cols = [shard, block[at].astype(np.int32), h1[at], h2[at], np.minimum.reduceat(first[order], at), np.maximum.reduceat(last[order], at), np.add.reduceat(lines[order], at)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=KEYS)
+
+def _document_keys(shards: int):
+    """Each key once for each row of documents, with its number of lines there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
         for b in chunks(batches, "text"):
             _, row, counts, h = line_keys(b.column("text"))
-            if len(h):
-                doc = pc.fill_null(b.column("doc_id"), NO_ID).to_numpy(zero_copy_only=False)[row[counts]]
-                block = b.column("__block").to_numpy(zero_copy_only=False)[row[counts]]
-                parts.append((block, h[:, 0], h[:, 1], doc, doc, np.ones(len(h), np.int64)))
-                n += len(h)
-            if n > FLUSH_LINES:
-                yield flush(parts)
-                parts, n = [], 0
-        if parts:
-            yield flush(parts)
+            row = row[counts]
+            order = np.lexsort((h[:, 1], h[:, 0], row))
+            row, h1, h2 = row[order], h[order, 0], h[order, 1]
+            at = starts_of(row, h1, h2)
+            doc = pc.fill_null(b.column("doc_id"), NO_ID).to_numpy(zero_copy_only=False)[row[at]]
+            cols = [shard_of(h1[at], shards), h1[at], h2[at], doc, np.diff(np.append(at, len(row)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, KEY)], schema=KEY)
 
     return run
 
 
-def shard_exact(filt: CuckooFilter, h1: np.ndarray, h2: np.ndarray, batch: int = 1 << 16) -> np.ndarray:
-    """Which rows (key hashes, in order of arrival) need the exact counts: the filter held, or now holds, their key twice.
+def _asked_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each key once per block, as far as FLUSH_LINES lines at a time go."""
 
-    Rows of keys that came once are surely not among them. Afterwards the filter holds every key once.
-    """
-    suspects, added = [], []
-    for at in range(0, len(h1), batch):
-        keys, n = np.unique(h1[at : at + batch].astype(np.uint64), return_counts=True)
-        held = filt.insert(keys)
-        suspects.append(keys[held | (n > 1)])
-        added.append(keys[~held])
-    suspects, added = (np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in (suspects, added))
-    filt.add(np.setdiff1d(suspects, added, assume_unique=True))  # prints that another key's print had hidden
-    return np.isin(h1.astype(np.uint64), suspects)
-
-
-def _answers(t: pa.Table) -> pa.Table:
-    """One shard: for each key of two documents or more, each block that has it and the document that keeps it."""
-    h1, h2, block, first, last = (t.column(c).to_numpy() for c in ("h1", "h2", "block", "first_doc", "last_doc"))
-    exact = shard_exact(CuckooFilter(len(h1)), h1, h2) | (first != last)
-    exact = np.isin(h1, h1[exact])
-    h1, h2, block, first, last = (c[exact] for c in (h1, h2, block, first, last))
-    order = np.lexsort((h2, h1))
-    h1, h2, block, first, last = (c[order] for c in (h1, h2, block, first, last))
-    at = starts_of(h1, h2)
-    if len(at):
-        size = np.diff(np.append(at, len(h1)))
-        keep = np.repeat(np.minimum.reduceat(first, at), size)
-        many = keep != np.repeat(np.maximum.reduceat(last, at), size)
-    else:
-        keep, many = first, np.zeros(0, dtype=bool)
-    return pa.table([pa.array(c[many]) for c in (block, h1, h2, keep)], names=["block", "h1", "h2", "keep_doc"])
+    def flush(parts: list) -> pa.RecordBatch:
+        block, h1, h2 = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((h2, h1, block))
+        block, h1, h2 = block[order], h1[order], h2[order]
+        at = starts_of(block, h1, h2)
+        return pa.RecordBatch.from_arrays([pa.array(block[at].astype(np.int32)), pa.array(h1[at]), pa.array(h2[at])], names=["block", "h1", "h2"])
+
+    parts, n = [], 0
+    for b in chunks(batches, "text"):
+        _, row, counts, h = line_keys(b.column("text"))
+        if len(h):
+            parts.append((b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)[row[counts]], h[:, 0], h[:, 1]))
+            n += len(h)
+        if n > FLUSH_LINES:
+            yield flush(parts)
+            parts, n = [], 0
+    if parts:
+        yield flush(parts)
 
 
 def drop_lines(docs: pa.Table, drops: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -132,7 +116,7 @@ def drop_lines(docs: pa.Table, drops: pa.Table, schema: pa.Schema) -> Iterator[p
         if len(d1) and len(h):
             at = np.searchsorted(d1, h[:, 0])
             hit = np.zeros(len(h), dtype=bool)
-            for _ in range(8):  # keys that share a first half lie next to each other
+            while True:  # keys that share a first half lie next to each other
                 ok = at < len(d1)
                 same = ok & (d1[np.where(ok, at, 0)] == h[:, 0])
                 found = same & (d2[np.where(ok, at, 0)] == h[:, 1])
@@ -158,93 +142,107 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Null or empty texts are one empty line and come back empty. Null ids count as one document that comes last. Rows with
     the same id are one document. Columns named n_lines or n_dropped are replaced; empty tables give empty results.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    spark = docs.sparkSession
-    p = partitions(spark)
-    plain = docs.drop("n_lines", "n_dropped").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    blocks = plain.withColumn("__block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(BLOCKS_PER_PARTITION * p)).cast("int")).repartition(p, "__block")
-    keys = blocks.select("doc_id", "text", "__block").mapInArrow(_block_keys(BLOCKS_PER_PARTITION * p), KEY_ROW)
-    answers = keys.groupBy("shard").applyInArrow(_answers, "block int, h1 bigint, h2 bigint, keep_doc bigint")
-    out = T.StructType([*plain.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    schema = to_arrow_schema(out)
-
-    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(drop_lines(left, right, schema), schema=schema)
-
-    return blocks.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(apply, out)
+    return LineIndex(docs.sparkSession).insert(docs).clean(docs)
 
 
 class LineIndex:
-    """The reversible state: insert(documents) and delete(ids) give new states, repeated() what is to be dropped.
+    """The reversible state: insert(documents) and delete(ids) give new states, clean(documents) their texts by this one.
 
-    Tables are written to the shared checkpoint folder at each step. doc_id null counts as NO_ID.
+    Tables are written to the shared checkpoint folder at each step. doc_id null counts as NO_ID. The number of shards is
+    chosen by the first documents, unless given.
     """
 
-    def __init__(self, spark: SparkSession, shards: int = 64):
-        self.spark, self.shards = spark, shards
+    def __init__(self, spark: SparkSession, shards: int | None = None):
+        self.spark, self.shards, self.empty = spark, shards, True
         self.filters = spark.createDataFrame([], "shard int, filter binary, room bigint")
-        self.log = spark.createDataFrame([], "shard int, h1 bigint, h2 bigint, doc_id bigint, lines bigint")
-        self.counts = spark.createDataFrame([], "h1 bigint, h2 bigint, first_doc bigint, last_doc bigint, lines bigint")
+        self.log = spark.createDataFrame([], KEY_ROW)
+        self.counts = spark.createDataFrame([], "shard int, h1 bigint, h2 bigint, first_doc bigint, last_doc bigint, lines bigint")
 
-    def _next(self, filters: DataFrame, log: DataFrame, counts: DataFrame) -> LineIndex:
-        out = LineIndex(self.spark, self.shards)
-        out.filters, out.log, out.counts = cut(filters), cut(log), cut(counts)
+    def _next(self, filters: DataFrame, log: DataFrame, counts: DataFrame, shards: int | None = None) -> LineIndex:
+        out = LineIndex(self.spark, shards or self.shards)
+        out.filters, out.log, out.counts, out.empty = cut(filters), log, cut(counts), False
         return out
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """Adds documents whose ids are not in the index yet."""
-        lines = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), "text")
-        each = lines.withColumn("__block", F.lit(0)).mapInArrow(_document_keys(self.shards), "shard int, h1 bigint, h2 bigint, doc_id bigint, lines bigint")
-        log = cut(each.groupBy("shard", "h1", "h2", "doc_id").agg(F.sum("lines").alias("lines")))
+        """Adds documents; those whose ids are in the index already are left out, and nothing of them is counted twice."""
+        rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+        shards = self.shards or max(partitions(self.spark), -(-_size(rows) // (64 * SHARD_KEYS)))  # a line of some 64 bytes
+        each = rows.mapInArrow(_document_keys(shards), KEY_ROW)
+        if not self.empty:
+            each = each.join(self.log.select("doc_id").distinct(), "doc_id", "left_anti").select(*KEY.names)
+        log = cut(each)  # rows with one id are one document, whose keys may come more than once here
         new = log.groupBy("shard", "h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum("lines").alias("lines"))
         shape = "shard int, h1 bigint, h2 bigint, first_doc bigint, last_doc bigint, lines bigint, held boolean, filter binary, room bigint"
+        if self.empty:
+            told = cut(new.withColumn("old", F.lit(False)).groupBy("shard").applyInArrow(_fill_shard, shape))
+            counts = told.where("filter IS NULL").select(*COUNTS)
+            return self._next(told.where("filter IS NOT NULL").select("shard", "filter", "room"), log, counts, shards)
         # a filter without room for the new keys is built anew, twice as large, from the exact counts of its shard
         full = self.filters.join(new.groupBy("shard").count(), "shard").where("count > room").select("shard")
-        shard = F.expr(f"CAST(pmod(CAST(h1 AS DECIMAL(20, 0)) + IF(h1 < 0, 18446744073709551616BD, 0BD), {self.shards}) AS INT)").alias("shard")
-        before = self.counts.select(shard, "h1", "h2", "first_doc", "last_doc", "lines").join(full, "shard", "left_semi")
+        before = self.counts.join(full, "shard", "left_semi")
         new = new.withColumn("old", F.lit(False)).unionByName(before.withColumn("old", F.lit(True)))
         told = cut(self.filters.groupBy("shard").cogroup(new.groupBy("shard")).applyInArrow(_insert_shard, shape))
         rows = told.where("filter IS NULL")
-        known = rows.where("held").select("h1", "h2", "first_doc", "last_doc", "lines")
-        sure = rows.where("NOT held").select("h1", "h2", "first_doc", "last_doc", "lines")
+        known, sure = rows.where("held").select(*COUNTS), rows.where("NOT held").select(*COUNTS)
         old = self.counts.join(known.select("h1", "h2"), ["h1", "h2"], "left_semi")
         rest = self.counts.join(known.select("h1", "h2"), ["h1", "h2"], "left_anti")
-        merged = old.unionByName(known).groupBy("h1", "h2").agg(F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"), F.sum("lines").alias("lines"))
+        merged = old.unionByName(known).groupBy("shard", "h1", "h2").agg(F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"), F.sum("lines").alias("lines"))
         return self._next(told.where("filter IS NOT NULL").select("shard", "filter", "room"), self.log.unionByName(log), rest.unionByName(merged).unionByName(sure))
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """Takes documents (a column doc_id) out again; ids that are not in the index do nothing."""
         ids = ids.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id")).distinct()
-        log = cut(self.log.join(ids, "doc_id", "left_anti").select("shard", "h1", "h2", "doc_id", "lines"))
+        log = cut(self.log.join(ids, "doc_id", "left_anti").select(*KEY.names))
         touched = cut(self.log.join(ids, "doc_id", "left_semi").select("shard", "h1", "h2").distinct())
         left = log.join(touched, ["shard", "h1", "h2"], "left_semi").groupBy("shard", "h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum("lines").alias("lines"))
         left = cut(left)
         gone = touched.join(left, ["shard", "h1", "h2"], "left_anti")
         filters = self.filters.groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(_delete_shard, "shard int, filter binary, room bigint")
-        counts = self.counts.join(touched, ["h1", "h2"], "left_anti").unionByName(left.select("h1", "h2", "first_doc", "last_doc", "lines"))
+        counts = self.counts.join(touched.select("h1", "h2"), ["h1", "h2"], "left_anti").select(*COUNTS).unionByName(left.select(*COUNTS))
         return self._next(filters, log, counts)
 
     def repeated(self) -> DataFrame:
         """h1, h2, keep_doc of the keys that two documents or more hold."""
         return self.counts.where("first_doc <> last_doc").select("h1", "h2", F.col("first_doc").alias("keep_doc"))
 
+    def clean(self, docs: DataFrame) -> DataFrame:
+        """docs (doc_id, text, any other columns) without the lines that the index gives to another document, with n_lines
+        (before) and n_dropped, as dedup_lines() states."""
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-def _document_keys(shards: int):
-    deal = _block_keys(shards)
+        plain = docs.drop("n_lines", "n_dropped").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+        p, names = partitions(self.spark), plain.columns
+        n = max(p, -(-_size(plain) // BLOCK_BYTES))
+        block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias(BLOCK)
+        blocks = plain.select(*names, block).repartition(p, F.col(BLOCK))
+        asked = blocks.select("text", BLOCK).mapInArrow(_asked_keys, ASKED_ROW)
+        answers = asked.join(self.repeated(), ["h1", "h2"]).select("block", "h1", "h2", "keep_doc")
+        out = T.StructType([*plain.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+        schema = to_arrow_schema(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text"):
-            for k in range(b.num_rows):  # a document is a block here
-                for out in deal(iter([b.slice(k, 1)])):
-                    yield pa.RecordBatch.from_arrays([out.column(c) for c in ("shard", "h1", "h2", "first_doc", "lines")], names=["shard", "h1", "h2", "doc_id", "lines"])
+        def apply(left: pa.Table, right: pa.Table) -> pa.Table:
+            return pa.Table.from_batches(drop_lines(left, right, schema), schema=schema)
+
+        return blocks.groupBy(BLOCK).cogroup(answers.groupBy("block")).applyInArrow(apply, out)
+
+
+COUNTS = ["shard", "h1", "h2", "first_doc", "last_doc", "lines"]
+#: The column of a row's block while texts meet the answers; docs must not have one of this name.
+BLOCK = "__line_dedup_block"
 
-    return run
+
+def _size(docs: DataFrame) -> int:
+    return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
 STATE = pa.schema([("shard", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("lines", pa.int64()), ("held", pa.bool_()), ("filter", pa.binary()), ("room", pa.int64())])
 
 
+def _fill_shard(new: pa.Table) -> pa.Table:
+    """_insert_shard() where there is no filter yet."""
+    return _insert_shard(pa.table({"shard": [], "filter": [], "room": []}), new)
+
+
 def _insert_shard(old: pa.Table, new: pa.Table) -> pa.Table:
     """The new keys with what the filter said of each, and a row with the filter that now holds them too."""
     if not new.num_rows:
