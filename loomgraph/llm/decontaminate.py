@@ -5,8 +5,9 @@ words become numbers of the benchmark's vocabulary, stretches that no window can
 the shortest window) shrink to a separator, and an FM-index is built over the rest. All windows are searched backwards
 at once through wavelet-tree ranks, their occurrences located by sampled suffix positions and merged to spans.
 
-Scale: one pass over the documents, no shuffle. The benchmark is sent to the tasks in blocks of at most BLOCK_WORDS
-words, each a pass of its own over what the pass before yields, so a benchmark of any size keeps its bound.
+Scale: no shuffle of the documents. The benchmark is sent to the tasks in blocks of at most BLOCK_WORDS words, each a pass
+of its own over what the pass before yields. After PASSES of them the documents are written to the shared folder and the
+blocks sent are given up, so that neither plan, driver nor tasks hold more than so many blocks of a benchmark of any size.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_BYTES, chunks, runs, string_views, table, text_buffer
+from .common import LOWER_BYTES, chunks, cut, runs, string_views, table, text_buffer
 from .fm_index import FMIndex
 
 WINDOW = 10
-BLOCK_WORDS = 200_000
+BLOCK_WORDS, PASSES = 200_000, 8
 #: byte -> lower-cased byte of a word, or 0: digits, letters and all bytes of other characters than ASCII
 WORD_BYTES = LOWER_BYTES.copy()
 WORD_BYTES[[b for b in range(128) if not (48 <= b <= 57 or 97 <= LOWER_BYTES[b] <= 122)]] = 0
@@ -111,10 +112,11 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pass(w: Windows, schema: pa.Schema, first_pass: bool):
+def _pass(shared, schema: pa.Schema, first_pass: bool):
     """Adds what these windows hit: __words (number), __hits (word spans within the text), __items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
         for b in chunks(batches, "text"):
             n_words, spans, items = search_chunk(b.column("text"), w)
             base = np.cumsum(n_words) - n_words
@@ -167,12 +169,12 @@ def benchmark_blocks(benchmark: DataFrame, size: int, block_words: int) -> Itera
     yield Windows(block, size)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs (doc_id, text, any other columns) with __words, __hits (spans of hit words), __items, __spans, __clean.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_words: int = BLOCK_WORDS, clean: bool = True) -> DataFrame:
+    """docs (doc_id, text, any other columns) with __words, __hits (spans of hit words), __items and, if clean, __spans, __clean.
 
     Null and empty texts have no words; items without words have no windows; windows of items with a null id hit words
     but name no item; items with the same id are one. Repeated rows and null ids are kept, an empty benchmark hits
-    nothing. Columns with those five names are replaced.
+    nothing. Texts of any length are searched whole. Columns with those five names are replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -181,14 +183,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
     shape = T.StructType([*plain.schema.fields, T.StructField("__words", T.LongType()), T.StructField("__hits", spans), T.StructField("__items", T.ArrayType(T.StringType()))])
     whole = T.StructType([*shape.fields, T.StructField("__spans", spans), T.StructField("__clean", T.StringType())])
     arrow = lambda s: to_arrow_schema(s)
-    out, first = plain, True
-    for w in benchmark_blocks(benchmark, size, block_words):
-        out, first = out.mapInArrow(_pass(w, arrow(shape), first), shape), False
-    return out.mapInArrow(_cut_spans(arrow(whole)), whole)
+    out, sent = plain, []
+    for n, w in enumerate(benchmark_blocks(benchmark, size, block_words)):
+        if sent and n % PASSES == 0:
+            out = cut(out)
+            while sent:
+                sent.pop().destroy()
+        sent.append(docs.sparkSession.sparkContext.broadcast(w))  # at most block_words words
+        out = out.mapInArrow(_pass(sent[-1], arrow(shape), n == 0), shape)
+    return out.mapInArrow(_cut_spans(arrow(whole)), whole) if clean else out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), clean=False)
     hit = F.aggregate("__hits", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", F.col("__words").alias("n_words"), hit.alias("n_hit"), F.size("__items").cast("bigint").alias("n_items"), F.sha2(F.array_join(F.sort_array("__items"), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
