@@ -55,16 +55,36 @@ def test_line_index_is_reversible(spark):
     back = both.delete(df([(4, "")]))
     assert held(back) == [1] and sorted(map(tuple, back.counts.collect())) == sorted(map(tuple, state.counts.collect()))
     assert held(back.delete(df([(1, ""), (9, "")]))) == []
+    again = both.insert(df([(4, "a line alone of three"), (2, "other text of two")]))  # ids that are held are not counted twice
+    assert sorted(map(tuple, again.counts.collect())) == sorted(map(tuple, both.counts.collect()))
+
+
+def test_line_index_cleans_texts_by_its_state(spark):
+    df = lambda rows: spark.createDataFrame(rows, SHAPE)
+    rng = np.random.default_rng(11)
+    rows = [(i, "\n".join(f"line number {rng.integers(60)} of some" for _ in range(8))) for i in range(30)]
+    texts = lambda frame: sorted((r["doc_id"], r["text"], r["n_dropped"]) for r in frame.collect())
+    first, rest, gone = rows[:20], rows[20:], [r for r in rows if r[0] % 5 == 0]
+    left = [r for r in rows if r[0] % 5]
+    state = LineIndex(spark, shards=4).insert(df(first)).insert(df(rest))
+    assert texts(state.clean(df(rows))) == texts(dedup_lines(df(rows)))
+    after = state.delete(df(gone))
+    assert texts(after.clean(df(left))) == texts(dedup_lines(df(left))) != texts(state.clean(df(left)))
+    assert texts(after.insert(df(gone)).clean(df(rows))) == texts(dedup_lines(df(rows)))
 
 
 def test_secret_scan_and_decontamination(spark, docs):
-    assert secret_scan.scan_secrets(docs).count() == len(DOCS)
+    assert secret_scan.scan_secrets(docs).count() == len(DOCS) and secret_scan.scan_secrets(docs.limit(0)).count() == 0
     bench = spark.createDataFrame([(1, "SAME line"), (None, "short"), (3, None), (4, "")], "item_id bigint, text string")
     rows = decontaminate.find_contamination(docs, bench, block_words=1).collect()
     hits = {(r["doc_id"], r["text"]): (sum(h["end"] - h["start"] for h in r["__hits"]), r["__items"], r["__clean"]) for r in rows}
     assert len(rows) == len(DOCS) and hits[(1, DOCS[0][1])] == (2, ["1"], " here\nown line of one\n")
     assert hits[(2, DOCS[1][1])] == (4, ["1"], "  HERE \n") and hits[(3, None)] == (0, [], "")
     assert decontaminate.find_contamination(docs.limit(0), bench).count() == 0
+    many = spark.createDataFrame([(i, f"line of w{i}") for i in range(20)] + [(90, "same line")], "item_id bigint, text string")
+    clash = docs.withColumn("__hits", F.lit(1)).withColumn("__words", F.lit("x"))
+    some = decontaminate.find_contamination(clash, many, block_words=1, clean=False)  # more blocks than are sent at once
+    assert {r["doc_id"] for r in some.where(F.array_contains("__items", "90")).collect()} == {1, 2, 5, None}
     assert decontaminate.find_contamination(docs, bench.limit(0)).where(F.size("__hits") > 0).count() == 0
 
 
@@ -363,3 +383,33 @@ def test_toxicity_penalty_spares_neutral_mentions(spark):
         w = dict(zip(model.words, model.weights))
         weight.append(w["muslim"] - w["jewish"])
     assert wrong == [20, 0] and abs(weight[1]) < weight[0] / 4
+
+
+def test_counterfactuals_act_on_the_corpus(spark):
+    """Documents of the corpus, of which many toxic and few others mention a group: neutral mentions are spared."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").join(labels, "doc_id")
+    names = F.element_at(F.array(*map(F.lit, ["muslim", "jewish", "gay"])), (F.col("doc_id") % 3 + 1).cast("int"))
+    mention = F.when((F.col("toxic") == 1) & (F.col("doc_id") % 4 != 0) | (F.col("doc_id") % 40 == 0), F.concat("text", F.lit(" "), names)).otherwise(F.col("text"))
+    biased = docs.select("doc_id", "toxic", mention.alias("text"))
+    neutral = docs.where("toxic = 0 AND doc_id % 2 = 0").select("doc_id", F.concat("text", F.lit(" "), names).alias("text"))
+    wrong, pairs = [], []
+    for penalty in (0.0, toxicity.PENALTY):
+        model = toxicity.fit(biased, labels, penalty=penalty)
+        wrong.append(toxicity.score_toxicity(neutral, model).where(F.col("toxicity") >= toxicity.THRESHOLD).count())
+        pairs.append(model.pairs)
+    assert min(pairs) >= 3 * 300  # every text has its copies
+    assert wrong[0] >= 5 and wrong[1] <= wrong[0] / 4, wrong
+
+
+def test_scores_are_those_of_the_features(spark):
+    """The vectorised score equals the sum of the weights of the features as the fit makes them."""
+    rng = np.random.default_rng(9)
+    stems = ["awful", "terrible", "terribly", "muslim", "disabled", "disgusting", "fine", "gut", "übergröße", "übergrößen"]
+    texts = [None, "", "!!", *(" ".join(rng.choice(stems, rng.integers(1, 9))) + rng.choice(["", ".", " ÄÖ"]) for _ in range(40))]
+    every = sorted({f for t in texts for f in toxicity.features(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t)))})
+    model = toxicity.Model(every, rng.normal(size=len(every)), -0.3)
+    weight = dict(zip(model.words, model.weights))
+    want = [sum(weight[f] for f in toxicity.features(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t)))) - 0.3 for t in texts]
+    assert np.allclose(toxicity.score_texts(pa.array(texts), model), 1 / (1 + np.exp(-np.array(want))))
