@@ -15,6 +15,24 @@ from pyspark.sql import functions as F
 # Arrow's own pools keep what they once took; the system's gives it back, which long-lived workers need.
 pa.set_memory_pool(pa.system_memory_pool())
 
+#: What numpy's OpenBLAS may call its setter, by how it was built.
+BLAS_SETTERS = [f"{a}openblas_set_num_threads{b}" for a in ("scipy_", "") for b in ("64_", "64", "_", "")]
+
+
+def one_blas_thread() -> None:
+    """A task has one core: matrix products of small matrices take it alone, where the library lets them be told."""
+    try:
+        with open("/proc/self/maps") as f:
+            loaded = {line.split()[-1] for line in f if "openblas" in line}
+    except OSError:
+        return
+    for path in loaded:
+        library = ctypes.CDLL(path)
+        for name in BLAS_SETTERS:
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 CHUNK_BYTES = 2 << 20
