@@ -85,6 +85,25 @@ def provider_of(kind: Column) -> Column:
     return out.otherwise("Generic")
 
 
+# The colours of providers and of kinds of edges.
+PROVIDER_COLORS = {"AWS": "#ff9900", "GCP": "#4285f4", "Azure": "#00b7c3", "Cloudflare": "#f4442e", "External": "#b07cd8", "Generic": "#8b93a1"}
+EDGE_COLORS = {"Contains": "#333b47", "AttachedTo": "#333b47", "ConnectsTo": "#54604f", "DependsOn": "#5c4f36", "HasIp": "#38585e", "RoutesTo": "#2f6285", "ResolvesTo": "#6c4a78"}
+OTHER_EDGE_COLOR = "#333b47"
+
+
+def provider_color(provider: Column) -> Column:
+    return F.element_at(_map(PROVIDER_COLORS), provider)
+
+
+def edge_color(kind: Column) -> Column:
+    return F.coalesce(F.element_at(_map(EDGE_COLORS), kind), F.lit(OTHER_EDGE_COLOR))
+
+
+def azure_id(rest: Column) -> Column:
+    """The full id of a resource of the fixture estate."""
+    return F.concat(F.lit("/subscriptions/sub-globex/resourceGroups/rg-globex/providers/"), rest)
+
+
 def node_size(degree: Column) -> Column:
     return 2 + 2 * F.sqrt(degree)
 

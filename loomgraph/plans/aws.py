@@ -15,6 +15,11 @@ def _global() -> Node:
     return Node("AwsRegion", F.lit("global"))
 
 
+def _global_node(t: DataFrame) -> DataFrame:
+    """The global region is there even if the collection is empty."""
+    return there(t.sparkSession.range(1), _global())
+
+
 def _sg(col) -> Node:
     return Node("AwsEc2SecurityGroup", col)
 
@@ -26,6 +31,8 @@ def _vpc_or_region(df: DataFrame, vpc: str) -> Node:
 
 def instances(t: DataFrame, settings: Settings) -> list[DataFrame]:
     me = Node("AwsEc2Instance", "instance_id")
+    if "state" in t.columns:  # the scan's filter: instances that run or are about to; rows that do not say count as such
+        t = t.where(F.col("state.name").isNull() | F.col("state.name").isin("running", "pending"))
     full = t.where("instance_id IS NOT NULL AND subnet_id IS NOT NULL")
     tags = t.select("instance_id", F.explode("tags").alias("x")).where("x.key IS NOT NULL AND x.value IS NOT NULL")
     groups = t.select("instance_id", F.explode("security_groups").alias("x"))
@@ -85,7 +92,7 @@ def listeners(t: DataFrame, settings: Settings) -> list[DataFrame]:
 
 
 def hosted_zones(t: DataFrame, settings: Settings) -> list[DataFrame]:
-    return [there(t, _global()), link(t.where("id IS NOT NULL"), _global(), "Contains", Node("AwsRoute53HostedZone", "id"))]
+    return [_global_node(t), link(t.where("id IS NOT NULL"), _global(), "Contains", Node("AwsRoute53HostedZone", "id"))]
 
 
 def record_sets(t: DataFrame, settings: Settings) -> list[DataFrame]:
@@ -111,7 +118,7 @@ def rds(t: DataFrame, settings: Settings) -> list[DataFrame]:
 
 
 def cloudfront(t: DataFrame, settings: Settings) -> list[DataFrame]:
-    return [there(t, _global()), link(t.where("id IS NOT NULL"), _global(), "Contains", Node("AwsCloudFrontDistribution", "id"))]
+    return [_global_node(t), link(t.where("id IS NOT NULL"), _global(), "Contains", Node("AwsCloudFrontDistribution", "id"))]
 
 
 def _eip(t: DataFrame, prefix: str = "") -> Node:

@@ -12,7 +12,15 @@ from .gcp import leaf
 
 
 def _first(t: DataFrame, key: str) -> DataFrame:
-    return first_per_key(t, key, "entry") if "entry" in t.columns else t
+    """Rows of the first entry of each parent; rows that say nothing of entries are of one."""
+    if "entry" not in t.columns:
+        return t
+    return first_per_key(t.withColumn("entry", F.coalesce("entry", F.lit(0))), key, "entry")
+
+
+def accounts(zones: DataFrame) -> DataFrame:
+    """Each account of the zones once: what is fetched by account is fetched once."""
+    return zones.select(F.col("account.id").alias("account_id")).where("account_id IS NOT NULL").dropDuplicates()
 
 
 def zones(t: DataFrame, records: DataFrame | None) -> list[DataFrame]:

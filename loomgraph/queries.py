@@ -12,7 +12,8 @@ from .functions import exprs as E
 from .operators import layout as L
 from .operators.graph import EDGE, NODE, Graph
 from .operators.patch import Patch, apply_patch, diff, seed_positions
-from .plans.arms import Node, first_per_key, link, union
+from .plans import Settings, aws, cloudflare
+from .plans.arms import Node, facts_to_graph, first_per_key, link, union
 from .star import host, star_graph, table, two_scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,7 +89,8 @@ SQL["snapshot_edges"] = f"{GRAPH}, {IDS} SELECT a.id AS source, b.id AS target,
 KINDS_SQL = "VALUES ('Region'), ('Nation'), ('Gateway'), ('Router')"
 QUERIES["missing_kinds"] = lambda spark, sf: star_graph(spark, sf).missing_kinds(spark.createDataFrame([("Region",), ("Nation",), ("Gateway",), ("Router",)], "kind string"))
 SQL["missing_kinds"] = f"{GRAPH}, k(kind) AS ({KINDS_SQL}) SELECT kind FROM k WHERE kind NOT IN (SELECT kind FROM n)"
-on_graph("dot_lines", lambda g: dot_lines(g), "SELECT '  \"' || kind || '(' || replace(id1, '\"', '\\\"') || ')\";' AS line FROM n UNION ALL SELECT '  \"' || src_kind || '(' || src_id1 || ')\" -> \"' || dst_kind || '(' || dst_id1 || ')\" [label=\"' || kind || '\"];' FROM e")
+on_graph("dot_lines", lambda g: dot_lines(g), None)
+SQL["dot_lines"] = f"{GRAPH}, {IDS} SELECT '  ' || id || ' [label=\"' || kind || '(' || replace(id1, '\"', '\\\"') || ')\"];' AS line FROM i UNION ALL SELECT '  ' || a.id || ' -> ' || b.id || ' [label=\"' || e.kind || '\"];' FROM e JOIN i a ON a.kind = src_kind AND a.id1 = src_id1 AND a.id2 = src_id2 JOIN i b ON b.kind = dst_kind AND b.id1 = dst_id1 AND b.id2 = dst_id2"
 
 CENTER = "Nation#Nation(3)"
 FAR = "SELECT dst_kind AS kind, dst_id1 AS id1, dst_id2 AS id2 FROM e WHERE src_kind = 'Nation' AND src_id1 = '3' UNION ALL SELECT src_kind, src_id1, src_id2 FROM e WHERE dst_kind = 'Nation' AND dst_id1 = '3'"
@@ -136,6 +138,15 @@ on_scans("patch_remove_cascades", _cascade, "SELECT * FROM e1 WHERE NOT (dst_kin
 # joins and projections of the arms
 
 
+@query("WITH t AS (SELECT l_suppkey AS ip, CASE l_linenumber % 3 WHEN 0 THEN 'AWS' WHEN 1 THEN 'GCP' END AS provider FROM lineitem), m AS (SELECT DISTINCT ip, provider FROM t WHERE provider IS NOT NULL) SELECT 'GenericIpAddress' AS kind, CAST(ip AS VARCHAR) AS id1, string_agg(provider, ',' ORDER BY provider) AS providers FROM m GROUP BY ip HAVING count(*) > 1")
+def seams(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses (suppliers) that nodes of two providers (line numbers) touch; some touch them as generic hosts only."""
+    k = F.col("l_linenumber") % 3
+    mine = Node(F.when(k == 0, "AwsEc2Instance").when(k == 1, "GcpComputeInstance").otherwise("GenericHostname"), "l_orderkey")
+    graph = facts_to_graph(link(table(spark, sf, "lineitem"), mine, "ConnectsTo", Node("GenericIpAddress", "l_suppkey")))
+    return graph.seams(("GenericIpAddress",)).select("kind", "id1", F.array_join("providers", ",").alias("providers"))
+
+
 @query("SELECT n_nationkey AS nation, count(*) AS pairs FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey")
 def pivot_seams(spark: SparkSession, sf: str) -> DataFrame:
     """Customers and suppliers that meet at a nation: counted on both sides before the join."""
@@ -175,6 +186,76 @@ def priority_route(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", via.alias("via"), id_.alias("id")).where("via IS NOT NULL")
 
 
+edges_of = lambda parts: union(parts).where("edge IS NOT NULL").select("src_kind", "src_id1", "edge", "dst_kind", "dst_id1").distinct()
+
+
+@query("SELECT DISTINCT 'AwsEc2RouteTable' AS src_kind, CAST(l_orderkey AS VARCHAR) AS src_id1, 'RoutesTo' AS edge, CASE WHEN l_returnflag = 'R' THEN 'AwsEc2NatGateway' ELSE 'AwsEc2InternetGateway' END AS dst_kind, CASE WHEN l_returnflag = 'R' THEN 'nat-' || l_suppkey ELSE 'igw-' || l_partkey END AS dst_id1 FROM lineitem WHERE l_returnflag = 'R' OR l_linestatus = 'O' UNION SELECT 'AwsEc2Vpc', CAST(o_custkey AS VARCHAR), 'Contains', 'AwsEc2RouteTable', CAST(o_orderkey AS VARCHAR) FROM orders JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON l_orderkey = o_orderkey")
+def arm_route_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as route tables of their customers' networks, lines as their routes: over NAT, over a gateway, or neither."""
+    route = F.struct(F.lit(None).cast("string").alias("destination_cidr_block"), F.concat(F.when(F.col("l_linestatus") == "O", "igw-").otherwise("vgw-"), F.col("l_partkey")).alias("gateway_id"), F.when(F.col("l_returnflag") == "R", F.concat(F.lit("nat-"), F.col("l_suppkey"))).alias("nat_gateway_id"))
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(route).alias("routes"))
+    t = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").cast("string").alias("route_table_id"), F.col("o_custkey").cast("string").alias("vpc_id"), "routes", F.array().cast("array<struct<subnet_id:string>>").alias("associations"))
+    return edges_of(aws.route_tables(t, Settings()))
+
+
+@query("SELECT CASE WHEN c_acctbal >= 0 THEN 'AwsEc2Vpc' ELSE 'AwsRegion' END AS src_kind, CASE WHEN c_acctbal >= 0 THEN CAST(c_nationkey AS VARCHAR) ELSE c_mktsegment END AS src_id1, 'Contains' AS edge, 'AwsElbLoadBalancer' AS dst_kind, CAST(c_custkey AS VARCHAR) AS dst_id1 FROM customer")
+def arm_load_balancers(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("load_balancer_arn"), F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey").cast("string")).alias("vpc_id"), F.col("c_mktsegment").alias("region"))
+    return edges_of(aws.load_balancers(t, Settings()))
+
+
+@query("SELECT DISTINCT 'AwsElbTargetGroup' AS src_kind, CAST(o_custkey AS VARCHAR) AS src_id1, 'ConnectsTo' AS edge, 'AwsEc2Instance' AS dst_kind, CAST(o_orderkey AS VARCHAR) AS dst_id1 FROM orders JOIN customer ON c_custkey = o_custkey UNION SELECT 'AwsEc2Vpc', CAST(c_nationkey AS VARCHAR), 'Contains', 'AwsElbTargetGroup', CAST(c_custkey AS VARCHAR) FROM customer")
+def arm_target_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as target groups; the orders that a separate collection lists for each are their targets."""
+    t = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("target_group_arn"), F.col("c_nationkey").cast("string").alias("vpc_id"))
+    target = F.struct(F.struct(F.col("o_orderkey").cast("string").alias("id")).alias("target"))
+    health = table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("k")).agg(F.collect_list(target).alias("v")).select(F.create_map("k", "v").alias("health"))
+    return edges_of(aws.target_groups(t, Settings(), health))
+
+
+@query("SELECT 'AwsEc2Eip' AS src_kind, coalesce(CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END, o_orderstatus) AS src_id1, 'ConnectsTo' AS edge, 'GenericIpAddress' AS dst_kind, o_orderstatus AS dst_id1 FROM orders GROUP BY ALL")
+def arm_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "orders").select(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("allocation_id"), F.col("o_orderstatus").alias("public_ip"))
+    return edges_of(aws.addresses(t, Settings()))
+
+
+@query("WITH r AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '0.0.0.0/0' WHEN 1 THEN '10.0.0.0/' || (s_nationkey + 8) ELSE '192.0.2.1/32' END AS c, s_nationkey + 8 AS size FROM supplier) SELECT 'AwsEc2SecurityGroup' AS src_kind, CAST(s_suppkey AS VARCHAR) AS src_id1, 'RoutesTo' AS edge, 'GenericIpAddress' AS dst_kind, c AS dst_id1 FROM r WHERE s_suppkey % 3 = 2 OR (s_suppkey % 3 = 1 AND size >= 16) UNION SELECT 'AwsRegion', CAST(s_nationkey AS VARCHAR), 'Contains', 'AwsEc2SecurityGroup', CAST(s_suppkey AS VARCHAR) FROM supplier")
+def arm_security_groups(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey") % 3
+    cidr = F.when(k == 0, "0.0.0.0/0").when(k == 1, F.concat(F.lit("10.0.0.0/"), F.col("s_nationkey") + 8)).otherwise("192.0.2.1/32")
+    out = F.array(F.struct(F.array(F.struct(cidr.alias("cidr_ip"))).alias("ip_ranges"), F.array().cast("array<struct<cidr_ipv6:string>>").alias("ipv6_ranges")))
+    t = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("group_id"), F.col("s_nationkey").cast("string").alias("region"), out.alias("ip_permissions_egress"), F.array().cast("array<struct<user_id_group_pairs:array<struct<group_id:string>>>>").alias("ip_permissions"))
+    return edges_of(aws.security_groups(t, Settings()))
+
+
+@query("WITH f AS (SELECT o_custkey AS z, min(month(o_orderdate)) AS m FROM orders GROUP BY o_custkey), r AS (SELECT o_custkey, o_orderkey, o_orderpriority FROM orders JOIN f ON z = o_custkey AND month(o_orderdate) = m JOIN customer ON c_custkey = o_custkey) SELECT 'CloudflareZone' AS src_kind, CAST(o_custkey AS VARCHAR) AS src_id1, 'Contains' AS edge, 'CloudflareDnsRecord' AS dst_kind, CAST(o_orderkey AS VARCHAR) AS dst_id1 FROM r UNION SELECT 'CloudflareDnsRecord', CAST(o_orderkey AS VARCHAR), 'RoutesTo', 'GenericHostname', o_orderpriority FROM r")
+def arm_zones(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as zones, their orders as records; of a zone that is listed for several months the first entry counts."""
+    o = table(spark, sf, "orders")
+    records = o.select(F.col("o_custkey").cast("string").alias("zone_id"), F.month("o_orderdate").alias("entry"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("name"), F.lit("TXT").alias("type"), F.lit("-").alias("content"))
+    return edges_of(cloudflare.zones(table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id")), records))
+
+
+@query(f"{GRAPH}, {IDS}, near AS ({FAR}) SELECT 0 AS place, id, {key_sql('kind', 'id1')} AS key FROM i WHERE kind = 'Nation' AND id1 = '3' UNION ALL SELECT 1, i.id, {key_sql('i.kind', 'i.id1')} FROM near JOIN i ON i.kind = near.kind AND i.id1 = near.id1 AND i.id2 = near.id2")
+def neighborhood_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return star_graph(spark, sf).neighborhood(CENTER)[0].select("place", "id", "key")
+
+
+@query(f"{GRAPH} SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges")
+def graph_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return star_graph(spark, sf).totals()
+
+
+@query(f"{GRAPH} SELECT k.kind, count(n.kind) AS n, count(n.kind) > 0 AS covered FROM (VALUES ('Region'), ('Part'), ('Gateway')) k(kind) LEFT JOIN n ON n.kind = k.kind GROUP BY k.kind")
+def coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return star_graph(spark, sf).coverage(spark.createDataFrame([("Region",), ("Part",), ("Gateway",)], "kind string"))
+
+
+@query(f"{GRAPH} SELECT kind, CASE kind WHEN 'ConnectsTo' THEN '#54604f' WHEN 'DependsOn' THEN '#5c4f36' WHEN 'HasIp' THEN '#38585e' WHEN 'RoutesTo' THEN '#2f6285' WHEN 'ResolvesTo' THEN '#6c4a78' ELSE '#333b47' END AS color FROM (SELECT DISTINCT kind FROM e)")
+def edge_colors(spark: SparkSession, sf: str) -> DataFrame:
+    return star_graph(spark, sf).edges.select("kind").distinct().select("kind", E.edge_color(F.col("kind")).alias("color"))
+
+
 CIDR = "'10.0.0.0/' || CAST(o_orderkey % 40 AS VARCHAR)"
 
 
@@ -256,17 +337,17 @@ def page_cap_per_parent(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def placed(spark: SparkSession, sf: str) -> DataFrame:
-    """200 parts at places told by their columns: the sizes that an exact single step is for."""
-    p = table(spark, sf, "part").where("p_partkey < 200")
+    """All parts at places told by their columns."""
+    p = table(spark, sf, "part")
     return p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 3 % 101 + F.col("p_partkey") / 1000).alias("x"), (F.col("p_size") + F.col("p_partkey") / 500).alias("y"), (F.col("p_size") % 5 + 1).cast("double").alias("mass"))
 
 
 def part_edges(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").where("p_partkey < 200")
-    return p.select(F.col("p_partkey").alias("source"), (F.col("p_partkey") * 7 % 200).alias("target"))
+    p = table(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("source"), (F.col("p_partkey") * 7 % F.lit(max(1, p.count()))).alias("target"))
 
 
-PLACED = "p AS (SELECT p_partkey AS id, (p_partkey * 3 % 101) + p_partkey / 1000 AS x, p_size + p_partkey / 500 AS y, CAST(p_size % 5 + 1 AS DOUBLE) AS mass FROM part WHERE p_partkey < 200), pe AS (SELECT p_partkey AS source, p_partkey * 7 % 200 AS target FROM part WHERE p_partkey < 200)"
+PLACED = "p AS (SELECT p_partkey AS id, (p_partkey * 3 % 101) + p_partkey / 1000 AS x, p_size + p_partkey / 500 AS y, CAST(p_size % 5 + 1 AS DOUBLE) AS mass FROM part), pe AS (SELECT p_partkey AS source, p_partkey * 7 % (SELECT count(*) FROM part) AS target FROM part)"
 rounded = lambda df, *c: df.select("id", *((F.round(x, 6) + F.lit(0.0)).alias(x) for x in c))  # noqa: E731  no negative zeros
 
 
@@ -280,13 +361,14 @@ def bbox(spark: SparkSession, sf: str) -> DataFrame:
     return L.bounding_box(placed(spark, sf)).select(*(F.round(c, 6).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")))
 
 
-@query("SELECT p_partkey AS id, round(10 * sqrt(p_partkey) * cos(2.3999632 * p_partkey), 6) + CAST(0 AS DOUBLE) AS x, round(10 * sqrt(p_partkey) * sin(2.3999632 * p_partkey), 6) + CAST(0 AS DOUBLE) AS y FROM part WHERE p_partkey < 200")
+@query("SELECT p_partkey AS id, round(10 * sqrt(p_partkey) * cos(CAST(2.3999632 AS DOUBLE) * p_partkey), 6) + CAST(0 AS DOUBLE) AS x, round(10 * sqrt(p_partkey) * sin(CAST(2.3999632 AS DOUBLE) * p_partkey), 6) + CAST(0 AS DOUBLE) AS y FROM part")
 def initial_spiral(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(L.initial_positions(table(spark, sf, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("id"))), "x", "y")
+    return rounded(L.initial_positions(table(spark, sf, "part").select(F.col("p_partkey").alias("id"))), "x", "y")
 
 
-@query(f"WITH {PLACED} SELECT a.id, round(sum(2 * a.mass * b.mass / ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) * (a.x - b.x)), 6) + CAST(0 AS DOUBLE) AS fx, round(sum(2 * a.mass * b.mass / ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) * (a.y - b.y)), 6) + CAST(0 AS DOUBLE) AS fy FROM p a JOIN p b ON a.id <> b.id GROUP BY a.id")
+@query()
 def repulsion_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs: tested against the kernel, for SQL would join them too."""
     return rounded(L.repulsion_exact(placed(spark, sf)), "fx", "fy")
 
 
@@ -297,85 +379,30 @@ def attraction(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {PLACED} SELECT id, round(-mass * x / sqrt(x * x + y * y), 6) + CAST(0 AS DOUBLE) AS fx, round(-mass * y / sqrt(x * x + y * y), 6) + CAST(0 AS DOUBLE) AS fy FROM p WHERE x * x + y * y > 0")
 def gravity(spark: SparkSession, sf: str) -> DataFrame:
-    away = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
-    return rounded(placed(spark, sf).where(away > 0).select("id", (-F.col("mass") * F.col("x") / away).alias("fx"), (-F.col("mass") * F.col("y") / away).alias("fy")), "fx", "fy")
+    return rounded(L.gravity(placed(spark, sf)), "fx", "fy")
 
 
 @query(f"WITH {PLACED}, g AS (SELECT id, mass, -mass * x / sqrt(x * x + y * y) AS fx, -mass * y / sqrt(x * x + y * y) AS fy FROM p WHERE x * x + y * y > 0) SELECT round(sum(mass * sqrt((fx - 1) ** 2 + (fy - 1) ** 2)), 5) AS swing, round(sum(mass * sqrt((fx + 1) ** 2 + (fy + 1) ** 2) / 2), 5) AS traction FROM g")
 def swing_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Mass-weighted swing and traction of the pull to the origin against a force of (1, 1) before."""
-    away = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
-    f = placed(spark, sf).where(away > 0).select("mass", (-F.col("mass") * F.col("x") / away).alias("fx"), (-F.col("mass") * F.col("y") / away).alias("fy"))
-    length = lambda s: F.sqrt((F.col("fx") + s) * (F.col("fx") + s) + (F.col("fy") + s) * (F.col("fy") + s))
-    return f.agg(F.round(F.sum(F.col("mass") * length(-1)), 5).alias("swing"), F.round(F.sum(F.col("mass") * length(1) / 2), 5).alias("traction"))
-
-
-# layout on all parts; those above have the filter of their SQL
-
-
-def all_placed(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part")
-    return p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 3 % 101 + F.col("p_partkey") / 1000).alias("x"), (F.col("p_size") + F.col("p_partkey") / 500).alias("y"), (F.col("p_size") % 5 + 1).cast("double").alias("mass"))
-
-
-def all_part_edges(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part")
-    return p.select(F.col("p_partkey").alias("source"), (F.col("p_partkey") * 7 % F.lit(max(1, p.count()))).alias("target"))
-
-
-ALL_PLACED = "p AS (SELECT p_partkey AS id, (p_partkey * 3 % 101) + p_partkey / 1000 AS x, p_size + p_partkey / 500 AS y, CAST(p_size % 5 + 1 AS DOUBLE) AS mass FROM part), pe AS (SELECT p_partkey AS source, p_partkey * 7 % (SELECT count(*) FROM part) AS target FROM part)"
-
-
-def _pulled(spark: SparkSession, sf: str) -> DataFrame:
-    away = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
-    return all_placed(spark, sf).where(away > 0).select("id", "mass", (-F.col("mass") * F.col("x") / away).alias("fx"), (-F.col("mass") * F.col("y") / away).alias("fy"))
-
-
-@query(f"WITH {ALL_PLACED} SELECT round(avg(x), 6) + CAST(0 AS DOUBLE) AS x, round(avg(y), 6) + CAST(0 AS DOUBLE) AS y FROM p")
-def centroid_all(spark: SparkSession, sf: str) -> DataFrame:
-    return L.centroid(all_placed(spark, sf)).select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
-
-
-@query(f"WITH {ALL_PLACED} SELECT round(min(x) - 0.08 * (max(x) - min(x)), 6) AS min_x, round(max(x) + 0.08 * (max(x) - min(x)), 6) AS max_x, round(min(y) - 0.08 * (max(y) - min(y)), 6) AS min_y, round(max(y) + 0.08 * (max(y) - min(y)), 6) AS max_y FROM p")
-def bbox_all(spark: SparkSession, sf: str) -> DataFrame:
-    return L.bounding_box(all_placed(spark, sf)).select(*(F.round(c, 6).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")))
-
-
-@query("SELECT p_partkey AS id, round(10 * sqrt(p_partkey) * cos(2.3999632 * p_partkey), 6) + CAST(0 AS DOUBLE) AS x, round(10 * sqrt(p_partkey) * sin(2.3999632 * p_partkey), 6) + CAST(0 AS DOUBLE) AS y FROM part")
-def initial_spiral_all(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(L.initial_positions(table(spark, sf, "part").select(F.col("p_partkey").alias("id"))), "x", "y")
-
-
-@query(f"WITH {ALL_PLACED}, d AS (SELECT source, target, b.x - a.x AS dx, b.y - a.y AS dy FROM pe JOIN p a ON a.id = source JOIN p b ON b.id = target) SELECT id, round(sum(dx), 6) + CAST(0 AS DOUBLE) AS fx, round(sum(dy), 6) + CAST(0 AS DOUBLE) AS fy FROM (SELECT source AS id, dx, dy FROM d UNION ALL SELECT target, -dx, -dy FROM d) GROUP BY id")
-def attraction_all(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(L.attraction(all_placed(spark, sf), all_part_edges(spark, sf)), "fx", "fy")
-
-
-@query(f"WITH {ALL_PLACED} SELECT id, round(-mass * x / sqrt(x * x + y * y), 6) + CAST(0 AS DOUBLE) AS fx, round(-mass * y / sqrt(x * x + y * y), 6) + CAST(0 AS DOUBLE) AS fy FROM p WHERE x * x + y * y > 0")
-def gravity_all(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_pulled(spark, sf), "fx", "fy")
-
-
-@query(f"WITH {ALL_PLACED}, g AS (SELECT id, mass, -mass * x / sqrt(x * x + y * y) AS fx, -mass * y / sqrt(x * x + y * y) AS fy FROM p WHERE x * x + y * y > 0) SELECT round(sum(mass * sqrt((fx - 1) ** 2 + (fy - 1) ** 2)), 5) AS swing, round(sum(mass * sqrt((fx + 1) ** 2 + (fy + 1) ** 2) / 2), 5) AS traction FROM g")
-def swing_totals_all(spark: SparkSession, sf: str) -> DataFrame:
-    length = lambda s: F.sqrt((F.col("fx") + s) * (F.col("fx") + s) + (F.col("fy") + s) * (F.col("fy") + s))
-    return _pulled(spark, sf).agg(F.round(F.sum(F.col("mass") * length(-1)), 5).alias("swing"), F.round(F.sum(F.col("mass") * length(1) / 2), 5).alias("traction"))
+    forces = L.gravity(placed(spark, sf)).select("mass", "fx", "fy", F.lit(1.0).alias("ox"), F.lit(1.0).alias("oy"))
+    return L.swing_and_traction(forces).select(F.round("swing", 5).alias("swing"), F.round("traction", 5).alias("traction"))
 
 
 @query()
 def barnes_hut_repulsion(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(L.repulsion_by_tree(all_placed(spark, sf), theta=0.5), "fx", "fy")
+    return rounded(L.repulsion_by_tree(placed(spark, sf), theta=0.5), "fx", "fy")
 
 
 @query()
 def layout_run(spark: SparkSession, sf: str) -> DataFrame:
-    return L.layout(all_placed(spark, sf).select("id"), all_part_edges(spark, sf), 50)
+    return L.layout(placed(spark, sf).select("id"), part_edges(spark, sf), 50)
 
 
 @query()
 def warm_pinned(spark: SparkSession, sf: str) -> DataFrame:
     some = F.when(F.col("id") % 3 > 0, F.col("x")).otherwise(F.lit(float("nan")))
-    return L.layout(all_placed(spark, sf).select("id", some.alias("x"), "y"), all_part_edges(spark, sf), 20)
+    return L.layout(placed(spark, sf).select("id", some.alias("x"), "y"), part_edges(spark, sf), 20)
 
 
 @query("WITH c AS (SELECT avg(c_acctbal) AS x, avg(c_nationkey) AS y FROM customer WHERE c_custkey % 2 = 0) SELECT CAST(c_custkey AS VARCHAR) AS id1, round(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE c.x END, 4) AS x, round(CASE WHEN c_custkey % 2 = 0 THEN c_nationkey ELSE c.y END, 4) AS y FROM customer, c")
@@ -390,7 +417,6 @@ def stream_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     """A stream of days, each a full scan of that day's users and events; the edges of the graph after the last."""
     import uuid
 
-    from .plans.arms import facts_to_graph
     from .streaming import Reconciler
 
     sc = spark.sparkContext

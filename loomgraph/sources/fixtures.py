@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 _GROUP = "array<struct<group_id:string>>"
 SCHEMAS = {
-    "aws_instances": f"instance_id string, vpc_id string, subnet_id string, private_ip_address string, placement struct<availability_zone:string>, tags array<struct<key:string,value:string>>, security_groups {_GROUP}, region string",
+    "aws_instances": f"instance_id string, vpc_id string, subnet_id string, private_ip_address string, placement struct<availability_zone:string>, tags array<struct<key:string,value:string>>, security_groups {_GROUP}, state struct<name:string>, region string",
     "aws_ecs_clusters": "cluster_arn string, region string",
     "aws_lambdas": "function_name string, role string, vpc_config struct<security_group_ids:array<string>>, region string",
     "aws_event_buses": "name string, region string",
@@ -48,9 +48,9 @@ SCHEMAS = {
     "gcp_forwarding_rules": "id string, name string, IPAddress string, target string, selfLink string",
     "azure_raw": "id string, name string, type string, location string, properties string",
     "cf_zones": "id string, name string, account struct<id:string,name:string>",
-    "cf_dns_records": "zone_id string, ord int, id string, name string, type string, content string",
+    "cf_dns_records": "zone_id string, entry int, ord int, id string, name string, type string, content string",
     "cf_workers": "id string, created_on string, modified_on string",
-    "cf_worker_bindings": "worker_id string, name string, type string, namespace_id string, bucket_name string, id string, extra map<string,string>",
+    "cf_worker_bindings": "worker_id string, entry int, name string, type string, namespace_id string, bucket_name string, id string, extra map<string,string>",
     "cf_kv": "id string, title string",
     "cf_r2": "name string, creation_date string",
     "cf_durable_objects": "id string, name string, class string, script string",

@@ -3,7 +3,8 @@
 Options: `path`, a folder with a folder for each scope (region, project, zone) in which `first.json` is the first page and
 `<token>.json` those that follow; `items`, the field with the rows; `inner`, for pages whose items are a map of scopes, the
 field of each with the rows; `token`, the field with the next page's name (default nextPageToken); `pushable`, a column whose
-equality and IN filters are applied while reading, without case. A page with a `status` other than 2xx or with
+equality and IN filters are applied while reading, without case; `pages` and `limit`, the most pages and rows that are read of
+a scope. A page with a `status` other than 2xx or with
 `success: false` is an error; with `tolerant` such a scope is empty. Each scope is a partition; rows are JSON texts.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
@@ -63,8 +65,13 @@ class PagedReader(DataSourceReader):
                 yield (partition.value, json.dumps(row), *([kind] if column else []))
 
     def _rows(self, scope: str) -> Iterator[dict]:
+        limit = self.options.get("limit")
+        return islice(self._all_rows(scope), int(limit) if limit else None)
+
+    def _all_rows(self, scope: str) -> Iterator[dict]:
         token, seen = "first", set()
-        while token:
+        most = int(self.options.get("pages", 0))
+        while token and not (most and len(seen) == most):
             if token in seen:
                 raise RuntimeError(f"{scope}: page {token} names itself again")
             seen.add(token)

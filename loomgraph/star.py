@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.graph import Graph
-from .plans.arms import Node, facts_to_graph, link, there, union
+from .plans.arms import Node, facts_to_graph, link, links, there, union
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,20 +23,17 @@ def star_facts(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None
     lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey").join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     pages, events = t("pages").select("page_id", host(F.col("url")).alias("host")), t("events")
     customer, part = Node("Customer", "c_custkey"), Node("Part", "p_partkey")
+    order, supplier = Node("Order", "l_orderkey"), Node("Supplier", "l_suppkey")
     return union(
         [
             link(t("nation"), Node("Region", "n_regionkey"), "Contains", Node("Nation", "n_nationkey")),
-            link(t("customer"), Node("Nation", "c_nationkey"), "Contains", customer),
+            links(t("customer"), (Node("Nation", "c_nationkey"), "Contains", customer), (customer, "DependsOn", Node("Tag", F.lit("mktsegment"), "c_mktsegment"))),
             link(t("supplier"), Node("Nation", "s_nationkey"), "Contains", Node("Supplier", "s_suppkey")),
-            link(t("customer"), customer, "DependsOn", Node("Tag", F.lit("mktsegment"), "c_mktsegment")),
             link(t("part"), part, "DependsOn", Node("Tag", F.lit("brand"), "p_brand")),
             link(orders, Node("Customer", "o_custkey"), "ConnectsTo", Node("Order", "o_orderkey")),
-            link(lines, Node("Order", "l_orderkey"), "AttachedTo", Node("Part", "l_partkey")),
-            link(lines, Node("Order", "l_orderkey"), "RoutesTo", Node("Supplier", "l_suppkey")),
-            link(lines, Node("Supplier", "l_suppkey"), "HasIp", Node("Part", "l_partkey")),
+            links(lines, (order, "AttachedTo", Node("Part", "l_partkey")), (order, "RoutesTo", supplier), (supplier, "HasIp", Node("Part", "l_partkey"))),
             link(pages, Node("Page", "page_id"), "ResolvesTo", Node("Hostname", "host")),
-            there(events, Node("User", "user_id")),
-            there(events, Node("EventType", "event_type")),
+            there(events.select(F.explode(F.array(F.struct(F.lit("User").alias("k"), F.col("user_id").cast("string").alias("v")), F.struct(F.lit("EventType").alias("k"), F.col("event_type").alias("v")))).alias("e")), Node(F.col("e.k"), "e.v")),
             there(t("region"), Node("Region", "r_regionkey")),
         ]
     )

@@ -1,3 +1,4 @@
 from .reconcile import Reconciler, demo_tick
+from .serve import Session
 
-__all__ = ["Reconciler", "demo_tick"]
+__all__ = ["Reconciler", "Session", "demo_tick"]

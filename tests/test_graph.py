@@ -3,13 +3,18 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.engine import Engine, dot_lines, patch_document, snapshot_document
+from loomgraph.demo import report
+from loomgraph.engine import Engine, dot_lines, patch_document, snapshot_document, write_positions
 from loomgraph.functions import exprs as E
 from loomgraph.kinds import EDGE_KINDS, node_kinds
 from loomgraph.operators import Graph, Patch, apply_patch, diff
 from loomgraph.operators.patch import seed_positions
-from loomgraph.plans import Settings
+from loomgraph.plans import Settings, facts_to_graph
+from loomgraph.plans.arms import Node as ArmNode
+from loomgraph.plans.arms import link, links
+from loomgraph.plans.cloudflare import accounts
 from loomgraph.sources import fixture_tables, read_estate, write_fixtures
+from loomgraph.sources.fixtures import SCHEMAS
 from loomgraph.streaming import demo_tick
 
 NODE = "kind string, id1 string, id2 string"
@@ -119,6 +124,70 @@ def test_degrees_and_snapshot(spark):
     assert '"added_nodes":[]' in patch_document(diff(g, g)).first()["value"]
 
 
+def test_neighborhood(spark):
+    g = graph(spark, ["a", "b", "c"], [("a", "x", "b"), ("a", "y", "b"), ("a", "x", "a")])
+    nodes, edges = g.neighborhood("N#N(a)")
+    assert sorted((r["place"], r["id"], r["key"]) for r in nodes.collect()) == [(0, 0, "N#N(a)"), (1, 0, "N#N(a)"), (1, 0, "N#N(a)"), (1, 1, "N#N(b)"), (1, 1, "N#N(b)")]
+    assert sorted((r["source"], r["target"], r["kind"]) for r in edges.collect()) == [(0, 0, "x"), (0, 0, "x"), (0, 1, "x"), (0, 1, "y")]
+    with pytest.raises(KeyError):
+        g.neighborhood("N#N(d)")
+
+
+def test_lone_ends_and_many_links(spark):
+    df = spark.createDataFrame([("a", "b"), ("c", None), (None, "d"), (None, None), ("a", "b")], "s string, t string")
+    g = facts_to_graph(link(df, ArmNode("N", "s"), "x", ArmNode("N", "t")))
+    assert names(g.nodes) == ["a", "b", "c", "d"] and g.edges.count() == 1
+    two = facts_to_graph(links(df, (ArmNode("N", "s"), "x", ArmNode("N", "t")), (ArmNode("N", "t"), "y", ArmNode("M", "s"))))
+    assert (two.nodes.count(), two.edges.count()) == (6, 2)
+
+
+def test_daemon_and_export(spark, tmp_path, capsys):
+    calls = []
+
+    def source():
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("gone")
+        return fixture_tables(spark)
+
+    waits = []
+    assert Engine(spark, source).run_daemon(str(tmp_path / "out"), 5.0, scans=3, sleep=waits.append) == 1 and waits == [5.0, 5.0]
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "out" / "dot")).collect()]
+    assert len(lines) == 95 + 84 + 2 and sum(" -> " in x for x in lines) == 84
+    assert spark.read.json(str(tmp_path / "out" / "json" / "nodes")).count() == 95
+    write_positions(spark.createDataFrame([(1, 2.0, 3.0), (0, 1.0, 1.0)], "id bigint, x double, y double"), str(tmp_path / "xy"))
+    assert dict(spark.read.parquet(str(tmp_path / "xy")).dtypes)["x"] == "float"
+
+
+def test_a_source_that_fails_when_read_counts_as_empty(spark):
+    tables = fixture_tables(spark)
+    broken = {**tables, "gcp_topics": tables["gcp_topics"].withColumn("name", F.raise_error(F.lit("unreadable")))}
+    g = Engine(spark, lambda: broken).run_once()
+    assert g.nodes.where("kind LIKE 'Gcp%'").count() == 0 and g.nodes.where("kind LIKE 'Aws%'").count() == 34
+    with pytest.raises(Exception, match="unreadable"):
+        Engine(spark, lambda: broken, Settings(strict_sources=True)).run_once().nodes.count()
+
+
+def test_empty_collections_states_and_first_entries(spark):
+    one = lambda name, rows: {name: spark.createDataFrame(rows, SCHEMAS[name])}
+    run = lambda tables: Engine(spark, lambda: tables).run_once()
+    assert names(run(one("aws_cloudfront", [])).nodes) == ["global"]
+    state = lambda i, s: {"instance_id": i, "state": {"name": s} if s else None}
+    assert names(run(one("aws_instances", [state("a", "running"), state("b", "terminated"), state("c", None), state("d", "pending")])).nodes) == ["a", "c", "d"]
+    record = lambda entry, i: {"zone_id": "z", "entry": entry, "id": i, "name": "h", "type": "TXT"}
+    g = run({**one("cf_zones", [{"id": "z"}, {"id": "z"}]), **one("cf_dns_records", [record(1, "late"), record(0, "r1"), record(0, "r2")])})
+    assert names(g.nodes.where("kind = 'CloudflareDnsRecord'")) == ["r1", "r2"]
+    zones = [{"id": str(i), "account": {"id": "acc"}} for i in range(3)]
+    assert accounts(one("cf_zones", zones)["cf_zones"]).count() == 1
+
+
+def test_report(spark, estate):
+    lines, whole = report(spark)
+    assert whole and lines[0] == "95 nodes, 84 edges" and len(lines) == 1 + 70 + 7 and lines[1:71] == sorted(lines[1:71])
+    nodes, edges = Graph.of_snapshot(*estate.snapshot())
+    assert nodes.count() <= 95 and nodes.where("color = '#ff9900'").count() > 0 and edges.where("color IS NULL").count() == 0
+
+
 def test_seeding(spark):
     placed = spark.createDataFrame([("N", "a", "", 100.0, 40.0), ("N", "b", "", 200.0, 60.0)], NODE + ", x double, y double")
     new = seed_positions(placed, spark.createDataFrame([("N", "c", "")], NODE)).where("id1 = 'c'").first()
@@ -139,3 +208,5 @@ def test_scalar_functions(spark):
     assert values(spark, E.service_of_uri, ["postgres://u:p@h:5/x", "mysql://[::1]/d", "nothing"]) == ["postgres://h", "mysql://[::1]", None]
     assert values(spark, E.canonical_address, ["2001:0db8:0:0:0:0:0:10", "1.2.3.4", "no", None]) == ["2001:db8::10", "1.2.3.4", "no", None]
     assert values(spark, E.node_size, [0, 1, 4], "int") == [2.0, 4.0, 6.0]
+    assert values(spark, E.edge_color, ["HasIp", "other"]) == ["#38585e", "#333b47"] and values(spark, E.provider_color, ["GCP"]) == ["#4285f4"]
+    assert values(spark, E.azure_id, ["x/y"]) == ["/subscriptions/sub-globex/resourceGroups/rg-globex/providers/x/y"]

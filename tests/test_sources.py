@@ -11,7 +11,7 @@ from loomgraph.plans.arms import Node, facts_to_graph, link
 from loomgraph.sources import read_snapshot
 from loomgraph.sources.edge_list import from_edge_list
 from loomgraph.sources.paged import register
-from loomgraph.streaming import Reconciler
+from loomgraph.streaming import Reconciler, Session
 
 
 def pages(folder, scope, *bodies):
@@ -32,6 +32,9 @@ def test_paged(spark, tmp_path):
     pages(tmp_path / "b", "z", {"items": {"zone1": {"rows": [{"id": 4}]}, "zone2": {}}})
     inner = spark.read.format("paged_json").option("path", str(tmp_path / "b")).option("inner", "rows").load()
     assert [json.loads(r["row"])["id"] for r in inner.collect()] == [4]
+    capped = spark.read.format("paged_json").option("path", str(tmp_path / "a"))
+    assert sorted(json.loads(r["row"])["id"] for r in capped.option("pages", 1).load().collect()) == [1, 2]
+    assert [json.loads(r["row"])["id"] for r in capped.option("limit", 1).load().collect()] == [1]
     pages(tmp_path / "c", "bad", {"success": False})
     read = spark.read.format("paged_json").option("path", str(tmp_path / "c"))
     with pytest.raises(Exception, match="failed"):
@@ -70,6 +73,17 @@ def test_stream(spark, tmp_path):
     empty = Graph(*state._nothing())
     assert diff(state.replay(empty, 0), newest).is_empty() and diff(state.replay(newest, state.versions()[-1]), newest).is_empty()
     assert state.log().where(F.col("op") == "remove").count() > 0 and len(state.versions()) == 3
+    client = Session(state)
+    assert json.loads(client.greet())["type"] == json.loads(client.answer('{"type": "subscribe"}'))["type"] == "snapshot" and client.news() == []
+    told = json.loads(client.answer('{"type": "get_neighbors", "key": "U#U(b)"}'))
+    assert [n["key"] for n in told["nodes"]] == ["U#U(b)", "T#T(y)"] and len(told["edges"]) == 1
+    errors = [json.loads(client.answer(m))["message"] for m in ("no json", '{"type": "what"}', '{"type": "get_neighbors"}', '{"type": "get_neighbors", "key": "U#none"}')]
+    assert all(e.startswith("bad message") for e in errors[:3]) and errors[3] == "no node with key U#none"
+    assert state.tick(empty, 99) and [json.loads(x)["type"] for x in client.news()] == ["patch"]
+    assert not state.tick(empty, 100) and 100 not in state.versions()
+    late = Session(state, buffer=0)
+    late.seen = -1
+    assert [json.loads(x)["type"] for x in late.news()] == ["snapshot"]
 
 
 def test_stream_query_takes_all_days(spark, tmp_path, monkeypatch):
