@@ -26,7 +26,7 @@ def odd(spark):
     """Documents with nulls, repeated rows, copies and columns of the stages' own names."""
     rows = [
         (1, prose("a", 40) + "\na line that repeats here", "en", 1), (2, prose("b", 40) + "\nA line that repeats here ", "en", 2),
-        (3, prose("a", 39) + "\nown end of three", None, None), (4, None, "en", 0), (5, "", "de", 0), (6, " \t\n", None, None),
+        (3, prose("a", 40) + "\na line that repeats", None, None), (4, None, "en", 0), (5, "", "de", 0), (6, " \t\n", None, None),
         (7, prose("c", 30), "en", 3), (7, prose("c", 30), "en", 3), (None, prose("d", 20), None, None), (8, "漢字 " * 300, "fr", 4),
     ]
     shape = "doc_id bigint, text string, lang string, n_chars int"
