@@ -423,7 +423,10 @@ def stream_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
+        given = sc.getConf().get("spark.checkpoint.dir", None)
+        if not given and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="loomgraph-"))
     folder = f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     rows = table(spark, sf, "events").where("ts IS NOT NULL").select(F.to_date("ts").cast("string").alias("day"), "user_id", "event_type")
     rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "day").write.partitionBy("day").parquet(f"{folder}/in")
