@@ -56,10 +56,12 @@ def ascii_lower(col):
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The session's own folder (spark.checkpoint.dir) is used; one is set only where there is none."""
+    """The session's own folder (spark.checkpoint.dir) is used; one is set only where there is none, and on one machine only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         given = sc.getConf().get("spark.checkpoint.dir", None)
+        if not given and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="loomgraph-checkpoint-"))
 
 
