@@ -30,6 +30,7 @@ LIMIT, FEW = 2048, 8
 #: Pairs that are compared in one vectorised step.
 CELLS = 1 << 18
 EVERY_BIT = (1 << BITS) - 1
+NO_TABLES = np.zeros(0, np.int64)
 
 #: byte -> its eight bits, one in each byte of a word
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], dtype=np.uint64)
@@ -123,15 +124,26 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))  # of a signed number it would count those of the absolute value
 
 
-def close_pairs(x: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Places (i < j) of all pairs of x within radius bits; None if they are more than `most`."""
+def unmet(z: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    """Which of these differences meet in none of the earlier tables; each pair belongs to the first table where it meets."""
+    ok = np.ones(len(z), dtype=bool)
+    step = max(1, CELLS // max(len(earlier), 1))
+    for at in range(0, len(z) if len(earlier) else 0, step):
+        ok[at : at + step] = ((earlier[:, None] & z[None, at : at + step]) != 0).all(axis=0)
+    return ok
+
+
+def close_pairs(x: np.ndarray, radius: int, most: int, earlier: np.ndarray = NO_TABLES) -> tuple[np.ndarray, np.ndarray] | None:
+    """Places (i < j) of the pairs of x within radius bits that no earlier table has; None if they are more than `most`."""
     left, right, n = [], [], 0
     step = max(1, CELLS // max(len(x), 1))
     for at in range(0, len(x), step):
         i, j = np.nonzero(differing(x[at : at + step, None], x[None, at:]) <= radius)
         later = j > i
-        left.append(i[later] + at)
-        right.append(j[later] + at)
+        i, j = i[later] + at, j[later] + at
+        own = unmet(x[i] ^ x[j], earlier)
+        left.append(i[own])
+        right.append(j[own])
         n += len(left[-1])
         if n > most:
             return None
@@ -140,16 +152,17 @@ def close_pairs(x: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.n
 
 def forest(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A shortest spanning forest of the pairs of x (a small bucket) within radius bits."""
-    return forest_and_open(x, radius)[:2]
+    return forest_and_open(x, radius, NO_TABLES)[:2]
 
 
-def forest_and_open(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links that join what all pairs of x within radius bits join, and those of x with further pairs.
+def forest_and_open(x: np.ndarray, radius: int, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links that join what all pairs of x within radius bits join, and those of x with further pairs; pairs that meet in an
+    earlier table are left to it.
 
     Few pairs are all given; of many a shortest spanning forest.
     """
     n = len(x)
-    if (few := close_pairs(x, radius, 2 * n)) is not None:
+    if (few := close_pairs(x, radius, 2 * n, earlier)) is not None:
         return x[few[0]], x[few[1]], x[:0]
     done = np.zeros(n, dtype=bool)
     dist, link, near = np.full(n, BITS + 1), np.full(n, -1), np.zeros(n, dtype=np.int64)
@@ -161,7 +174,12 @@ def forest_and_open(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray,
             right.append(link[k])
         done[k] = True
         d = differing(x, x[k])
-        near[k] = (d <= radius).sum() - 1
+        if len(earlier):
+            at = np.flatnonzero(d <= radius)
+            d[at[~unmet(x[at] ^ x[k], earlier)]] = BITS + 1  # and itself
+            near[k] = (d <= radius).sum()
+        else:
+            near[k] = (d <= radius).sum() - 1
         closer = (d < dist) & ~done
         dist[closer], link[closer] = d[closer], k
     left, right = np.array(left, int), np.array(right, int)
@@ -178,8 +196,12 @@ def bucket_starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def links(begin: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links within the buckets that begin at these rows, and those of fp that have pairs which are no links."""
+def links(begin: np.ndarray, fp: np.ndarray, radius: int, nth: np.ndarray | None = None, tables: np.ndarray = NO_TABLES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links within the buckets that begin at these rows, and those of fp that have pairs which are no links.
+
+    With nth (the number of each row's table among `tables`) a pair counts in its first table only. The pairs are so dealt to
+    the tables, and links that join what each table's pairs join are fewer and join what all pairs join.
+    """
     size = np.diff(np.append(begin, len(fp)))
     bucket = np.repeat(np.arange(len(begin)), size)
     few = size[bucket] <= FEW
@@ -187,21 +209,27 @@ def links(begin: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, n
     for lag in range(1, FEW):
         i = np.flatnonzero(few[:-lag] & (bucket[:-lag] == bucket[lag:])) if len(fp) > lag else np.zeros(0, int)
         i = i[differing(fp[i], fp[i + lag]) <= radius]
+        if nth is not None:
+            for k in range(len(tables) - 1):
+                i = i[(nth[i] <= k) | ((tables[k] & (fp[i] ^ fp[i + lag])) != 0)]
         left.append(fp[i])
         right.append(fp[i + lag])
     for k in np.flatnonzero(size > FEW):
-        a, b, c = forest_and_open(np.unique(fp[begin[k] : begin[k] + size[k]]), radius)
+        earlier = NO_TABLES if nth is None else tables[: nth[begin[k]]]
+        a, b, c = forest_and_open(np.unique(fp[begin[k] : begin[k] + size[k]]), radius, earlier)
         left.append(a)
         right.append(b)
         opened.append(c)
     return np.concatenate(left), np.concatenate(right), np.unique(np.concatenate(opened))
 
 
-def _bucket_links(radius: int, kind: str):
+def _bucket_links(radius: int, kind: str, tables: np.ndarray):
     """Rows of a partition sorted by bucket (mask, mask & fp, pair); the last bucket of a batch waits for the next one."""
+    order = np.argsort(tables)
 
     def found(mask: np.ndarray, key: np.ndarray, pair: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        u, v, opened = links(bucket_starts(mask, key, pair), fp, radius)
+        nth = order[np.searchsorted(tables[order], mask)] if kind == "open" else None
+        u, v, opened = links(bucket_starts(mask, key, pair), fp, radius, nth, tables)
         if kind == "open":
             u, v = np.concatenate([u, opened]), np.concatenate([v, opened])
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
@@ -226,7 +254,7 @@ def _bucket_links(radius: int, kind: str):
 def near_links(classes: DataFrame, radius: int = RADIUS, limit: int = LIMIT, kind: str = "thin", parts: int = 1) -> DataFrame:
     """u, v: links that join the same of the distinct fingerprints (fp) as all pairs within radius bits do.
 
-    kind "open" adds a row with u = v for each fingerprint that has pairs within the radius which are not among the links.
+    kind "open" (for parts > 1) takes each pair in the first table where it meets, and adds a row with u = v for each fingerprint that has pairs within the radius which are not among the links.
     Buckets of more than limit classes are dealt again by finer masks (parts = 1), or in blocks
     each two of which meet (parts > 1, where finer masks would be too many).
     """
@@ -239,7 +267,7 @@ def near_links(classes: DataFrame, radius: int = RADIUS, limit: int = LIMIT, kin
     def met(rows: DataFrame) -> DataFrame:
         """rows: mask, pair, fp"""
         dealt = rows.repartition(partitions(spark), F.col("mask"), key, F.col("pair")).sortWithinPartitions(F.col("mask"), key, F.col("pair"), F.col("fp"))
-        return dealt.mapInArrow(_bucket_links(radius, kind), "u bigint, v bigint")
+        return dealt.mapInArrow(_bucket_links(radius, kind, np.array([signed(m) for m in tables])), "u bigint, v bigint")
 
     while True:
         keyed = rows.select("mask", key.alias("key"), "fp")
