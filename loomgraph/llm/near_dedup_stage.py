@@ -5,8 +5,10 @@ SimHash of its distinct PRINT_WIDTH-word shingles, which stands nearer to that o
 does. Nodes within RADIUS differing bits, equal fingerprints included, are candidates; the covering masks of two halves of
 the bits (RADIUS // 2 differing bits in one of them) guarantee each such pair. A candidate is kept if the two texts share
 at least SIMILARITY of their shingles (Jaccard). The first candidates are thin links, so that a group of copies of any size
-gives few more of them than it has nodes; where these left pairs out, shingle sets are then dealt to the tables' buckets and all
-pairs of a bucket compared there, but for those that confirmed links join already. Components keep their smallest id.
+gives few more of them than it has nodes. Where these left pairs out, the nodes' sketches (a bit for each shingle, a byte of them
+for a shingle) are dealt to the tables' buckets, and all pairs there that confirmed links do not join already are held
+against the most that their sketches let them share. Only nodes of pairs that may be alike then go to these buckets with
+their shingle sets, to be compared. Components keep their smallest id.
 
 Scale: texts are read where they lie for a digest and a fingerprint; they are shuffled by id once for the shingle sets of
 nodes with candidates, as sorted 64-bit hashes, and once to keep the rows that stay. Links are compared in a join whose keys
@@ -26,13 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, chunks, cut, partitions, release
 from .components import connected_components
-from .simhash import covering_masks, majority, near_links, shingle_hashes, signed
+from .simhash import covering_masks, majority, near_links, shingle_hashes, signed, unmet
 
 RADIUS, PARTS, PRINT_WIDTH, WIDTH, SIMILARITY = 9, 2, 2, 5, 0.8
 #: Rows of two shingle sets that a task compares at a time.
 PAIR_ROWS = 256
 #: Sets that a task holds of one bucket: so many, of so many shingles in all. Larger buckets are split.
 HELD_SETS, HELD_SHINGLES = 4096, 4 << 20
+#: Bytes of the smallest sketch.
+SKETCH = 64
 #: What a row of a bucket is for: kept, kept and compared with those before it, compared only.
 KEPT, BOTH, PASSING = 0, 1, 2
 
@@ -146,18 +150,29 @@ def near_components(nodes: DataFrame, docs: DataFrame, radius: int, similarity:
     members = cut(labelled.join(untold, "fp", "left_semi").select("node", "fp", "size", "label"))
     if members.isEmpty():
         return labelled
-    more = cut(_met_in_buckets(members, sets, radius, similarity).distinct())
+    some = sets.join(members.select("node").hint("shuffle_hash"), "node", "left_semi")
+    sketches = cut(some.mapInArrow(_sketch_rows, "node bigint, shingles binary"))
+    dealt = cut(_dealt(members, radius))
+    able = cut(_met(dealt, sketches, _may_meet(radius, similarity), radius, "mask bigint, node bigint"))
+    if able.isEmpty():
+        return labelled
+    able = able.select("mask", "node").distinct()
+    met = dealt.join(able.hint("shuffle_hash"), ["mask", "node"], "left_semi")
+    more = cut(_met(met, sets, _meet(radius, similarity), radius, "u bigint, v bigint").distinct())
     return labelled if more.isEmpty() else _labelled(nodes, sure.unionByName(more))
 
 
-def _met_in_buckets(members: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """u, v: confirmed links that join what all confirmed pairs of members (node, fp, size, label) of two labels join.
+def _tables(radius: int) -> np.ndarray:
+    return np.array([signed(m) for m in covering_masks(radius, PARTS)])
+
+
+def _dealt(members: DataFrame, radius: int) -> DataFrame:
+    """mask, key, node, fp, size, label, part, side: members (node, fp, size, label) in all buckets that hold several labels.
 
     In a bucket, nodes of labels other than the most frequent one are the minor ones, and each pair has one of them. A small
     bucket is one part; of a larger one each part keeps a block of the minor nodes, and a block of all passes by.
     """
-    tables = [signed(m) for m in covering_masks(radius, PARTS)]
-    masked = members.withColumn("mask", F.explode(F.array(*map(F.lit, tables)))).withColumn("key", F.col("mask").bitwiseAND(F.col("fp")))
+    masked = members.withColumn("mask", F.explode(F.array(*map(F.lit, _tables(radius).tolist())))).withColumn("key", F.col("mask").bitwiseAND(F.col("fp")))
     each = masked.groupBy("mask", "key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
     mixed = each.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "label")).alias("major"))
     blocks = lambda n, s: F.ceil(F.greatest(n / F.lit(HELD_SETS), s / F.lit(HELD_SHINGLES), F.lit(1))).cast("int")
@@ -168,11 +183,106 @@ def _met_in_buckets(members: DataFrame, sets: DataFrame, radius: int, similarity
     kept = F.when(F.col("label") != F.col("major"), F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda j: role(block("a") * F.col("b") + j, KEPT))).otherwise(F.array().cast("array<struct<part:int,side:int>>"))
     passing = F.transform(F.sequence(F.lit(0), F.col("a") - 1), lambda i: role(i * F.col("b") + block("b"), PASSING))
     roles = F.when(F.col("whole"), F.array(role(F.lit(0), BOTH))).otherwise(F.concat(kept, passing))
-    dealt = masked.join(mixed, ["mask", "key"]).select("mask", "key", "node", "fp", "label", F.explode(roles).alias("r")).select("mask", "key", "node", "fp", "label", "r.part", "r.side")
-    rows = sets.join(cut(dealt).hint("shuffle_hash"), "node").select("mask", "key", "part", "side", "node", "fp", "label", "shingles")
+    columns = ["mask", "key", "node", "fp", "size", "label"]
+    return masked.join(mixed, ["mask", "key"]).select(*columns, F.explode(roles).alias("r")).select(*columns, "r.part", "r.side")
+
+
+def _met(dealt: DataFrame, held: DataFrame, meet, radius: int, shape: str) -> DataFrame:
+    """What meet makes of the rows of dealt, each with what held (node, shingles) has of its node, bucket part by part."""
+    rows = held.join(dealt.hint("shuffle_hash"), "node").select(*BUCKET_ROW)
     order = ["mask", "key", "part"]
-    sorted_ = rows.repartition(partitions(members.sparkSession), *order).sortWithinPartitions(*order, "side")
-    return sorted_.mapInArrow(_meet(np.array(tables), radius, similarity), "u bigint, v bigint")
+    return rows.repartition(partitions(held.sparkSession), *order).sortWithinPartitions(*order, "side").mapInArrow(meet, shape)
+
+
+BUCKET_ROW = ["mask", "key", "part", "side", "node", "fp", "size", "label", "shingles"]
+
+
+def sketch(shingles: bytes) -> bytes:
+    """A bit for each of the hashes, of at least eight for each of them, by its last bits."""
+    h = np.frombuffer(shingles, np.uint64)
+    bits = 8 * SKETCH
+    while bits < 8 * len(h):
+        bits *= 2
+    out = np.zeros(bits, dtype=np.uint8)
+    out[(h & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out).tobytes()
+
+
+def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([sketch(x) for x in b.column("shingles").to_pylist()], pa.binary())], names=["node", "shingles"])
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (n, w) as those of fewer words: w / words parts laid on each other."""
+    n, w = sketches.shape
+    return sketches if w == words else np.bitwise_or.reduce(sketches.reshape(n, w // words, words), axis=1)
+
+
+def may_be_alike(some: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: int, least: float) -> np.ndarray:
+    """Whether sets with these sketches can have a Jaccard similarity of least: each bit that one lacks is a shingle it lacks."""
+    words = min(some.shape[1], one.shape[1])
+    a, b = folded(some, words), folded(one, words)
+    without = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+    shared = np.minimum(sizes - without(a & ~b), size - without(b & ~a))
+    return shared >= least * (sizes + size - shared) - 1e-6
+
+
+class Sketches:
+    """The nodes kept of one part of a bucket, with their sketches, by the sketches' size."""
+
+    def __init__(self):
+        self.kept: dict[int, list[np.ndarray]] = {}  # words of a sketch: node, fp, label, size (4, room), sketches (room, words)
+        self.n: dict[int, int] = {}
+
+    def keep(self, node: int, fp: int, label: int, size: int, one: np.ndarray) -> None:
+        words = one.shape[1]
+        facts, sketches = self.kept.setdefault(words, [np.zeros((4, 8), np.int64), np.zeros((8, words), np.uint64)])
+        n = self.n.get(words, 0)
+        if n == len(sketches):
+            facts, sketches = np.concatenate([facts, np.zeros_like(facts)], axis=1), np.concatenate([sketches, np.zeros_like(sketches)])
+            self.kept[words] = [facts, sketches]
+        facts[:, n], sketches[n] = (node, fp, label, size), one[0]
+        self.n[words] = n + 1
+
+    def able(self, earlier: np.ndarray, fp: int, label: int, size: int, one: np.ndarray, radius: int, least: float) -> Iterator[int]:
+        """Kept nodes of other labels within the radius that may be alike this one."""
+        for words, (facts, sketches) in self.kept.items():
+            facts = facts[:, : self.n[words]]
+            x = facts[1] ^ np.int64(fp)
+            ok = (np.bitwise_count(x.view(np.uint64)) <= radius) & (facts[2] != label)
+            at = np.flatnonzero(ok & (np.minimum(facts[3], size) >= least * np.maximum(facts[3], size) - 1e-6))
+            at = at[unmet(x[at], earlier)]
+            if len(at):
+                yield from facts[0, at[may_be_alike(sketches[at], facts[3, at], one, size, least)]].tolist()
+
+
+def _may_meet(radius: int, least: float):
+    """mask, node: the nodes of a bucket of sketches that may have a pair there."""
+    tables = _tables(radius)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bucket, told = None, Sketches(), set()
+        for b in (batch.slice(at, PAIR_ROWS) for batch in batches for at in range(0, batch.num_rows, PAIR_ROWS)):
+            found: list[int] = []
+            masks: list[int] = []
+            for mask, key, part, side, node, fp, size, label, held in zip(*(b.column(c).to_pylist() for c in BUCKET_ROW)):
+                if (mask, key, part) != now:
+                    now, bucket, told = (mask, key, part), Sketches(), set()
+                    earlier = tables[: int(np.flatnonzero(tables == mask)[0])]
+                one = np.frombuffer(held, np.uint64)[None]
+                if side != KEPT:
+                    others = set(bucket.able(earlier, fp, label, size, one, radius, least))
+                    new = (others | {node} if others else others) - told
+                    told |= new
+                    found.extend(new)
+                    masks.extend([mask] * len(new))
+                if side != PASSING:
+                    bucket.keep(node, fp, label, size, one)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (masks, found)], names=["mask", "node"])
+        release()
+
+    return run
 
 
 class Bucket:
@@ -201,8 +311,7 @@ class Bucket:
         """Kept nodes that confirmed pairs join to this one. earlier: the tables before this one, where a pair may have met."""
         x = self.fp[: len(self.nodes)] ^ np.int64(fp)
         at = np.flatnonzero(np.bitwise_count(x.view(np.uint64)) <= radius)
-        if len(at) and len(earlier):
-            at = at[((earlier[:, None] & x[at]) != 0).all(axis=0)]
+        at = at[unmet(x[at], earlier)]
         out = []
         for k in at.tolist():
             a, b = self.root(self.labels[k]), self.root(label)
@@ -213,13 +322,15 @@ class Bucket:
         return out
 
 
-def _meet(tables: np.ndarray, radius: int, least: float):
+def _meet(radius: int, least: float):
+    """u, v: confirmed links of a bucket that join what all its confirmed pairs of two labels join."""
+    tables = _tables(radius)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, bucket = None, Bucket()
         for b in (batch.slice(at, PAIR_ROWS) for batch in batches for at in range(0, batch.num_rows, PAIR_ROWS)):
             found: tuple[list, list] = ([], [])
-            columns = (b.column(c) for c in ("mask", "key", "part", "side", "node", "fp", "label", "shingles"))
-            for mask, key, part, side, node, fp, label, shingles in zip(*(c.to_pylist() for c in columns)):
+            for mask, key, part, side, node, fp, _, label, shingles in zip(*(b.column(c).to_pylist() for c in BUCKET_ROW)):
                 if (mask, key, part) != now:
                     now, bucket = (mask, key, part), Bucket()
                     earlier = tables[: int(np.flatnonzero(tables == mask)[0])]
