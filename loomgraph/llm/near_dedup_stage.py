@@ -127,22 +127,26 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def near_components(nodes: DataFrame, docs: DataFrame, radius: int, similarity: float) -> DataFrame:
     """nodes (node, digest, fp, size, doc_id) with label: components of all pairs within radius bits and of the similarity.
 
-    Thin links are confirmed first; nodes that have further pairs are then compared in their buckets. docs has
+    Thin links that sketches allow are confirmed first; nodes with further pairs are then compared in their buckets. docs has
     one text for each doc_id of nodes, or more, one of which has the digest.
     """
     slim = nodes.select("node", "fp", "size")
     heads = cut(slim.groupBy("fp").agg(F.min("node").alias("head")))
     found = cut(near_links(heads.select("fp"), radius, kind="open", parts=PARTS).distinct())
     near = cut(_ordered(found.where("u <> v")))
-    at = lambda name: heads.select(F.col("fp").alias(name), F.col("head").alias(f"head_{name}"))
-    thin = near.join(at("u"), "u").join(at("v"), "v").select(F.col("head_u").alias("u"), F.col("head_v").alias("v"))
-    stars = slim.join(heads, "fp").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
-    links = cut(thin.unionByName(stars))
-    ends = cut(links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).distinct())
+    stars = slim.join(heads, "fp").where("node <> head").select("node", "head")
+    faced = near.select(F.col("u").alias("fp")).union(near.select(F.col("v").alias("fp"))).distinct().join(heads, "fp").select(F.col("head").alias("node"))
+    ends = cut(faced.union(stars.select("node")).union(stars.select("head")).distinct())
     sets = _sets_of(ends, nodes, docs)  # every later pair is of these nodes too
-    size = lambda name: slim.select(F.col("node").alias(name), F.col("size").alias(f"size_{name}"))
-    near_size = F.least("size_u", "size_v") >= F.greatest("size_u", "size_v") * similarity - 1e-6  # or their Jaccard is less
-    sure = _confirmed(links.join(size("u"), "u").join(size("v"), "v").where(near_size).select("u", "v"), sets, similarity)
+    sketches = cut(sets.mapInArrow(_sketch_rows, "node bigint, shingles binary"))
+    known = sketches.join(slim.hint("shuffle_hash"), "node")
+    side = lambda key, name: known.select(F.col(key).alias(name), F.col("node").alias(f"node_{name}"), F.col("size").alias(f"size_{name}"), F.col("shingles").alias(f"sketch_{name}"))
+    first = known.join(heads.select(F.col("head").alias("node")), "node", "left_semi")
+    head = lambda name: first.select(F.col("fp").alias(name), F.col("node").alias(f"node_{name}"), F.col("size").alias(f"size_{name}"), F.col("shingles").alias(f"sketch_{name}"))
+    thin = near.join(head("u"), "u").join(head("v"), "v").select(*LINK_ROW)
+    spokes = stars.select(F.col("node").alias("u"), F.col("head").alias("v")).join(side("node", "u"), "u").join(side("node", "v"), "v").select(*LINK_ROW)
+    able = cut(thin.unionByName(spokes).mapInArrow(_able(similarity), "u bigint, v bigint"))
+    sure = _confirmed(able, sets, similarity)
     labelled = _labelled(nodes, sure)
     several = cut(slim.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"))
     beside = [near.join(several.withColumnRenamed("fp", a), a, "left_semi").select(F.col(b).alias("fp")) for a, b in (("u", "v"), ("v", "u"))]
@@ -150,14 +154,11 @@ def near_components(nodes: DataFrame, docs: DataFrame, radius: int, similarity:
     members = cut(labelled.join(untold, "fp", "left_semi").select("node", "fp", "size", "label"))
     if members.isEmpty():
         return labelled
-    some = sets.join(members.select("node").hint("shuffle_hash"), "node", "left_semi")
-    sketches = cut(some.mapInArrow(_sketch_rows, "node bigint, shingles binary"))
     dealt = cut(_dealt(members, radius))
-    able = cut(_met(dealt, sketches, _may_meet(radius, similarity), radius, "mask bigint, node bigint"))
-    if able.isEmpty():
+    open_ = cut(_met(dealt, sketches, _may_meet(radius, similarity), radius, "mask bigint, node bigint"))
+    if open_.isEmpty():
         return labelled
-    able = able.select("mask", "node").distinct()
-    met = dealt.join(able.hint("shuffle_hash"), ["mask", "node"], "left_semi")
+    met = dealt.join(open_.distinct().hint("shuffle_hash"), ["mask", "node"], "left_semi")
     more = cut(_met(met, sets, _meet(radius, similarity), radius, "u bigint, v bigint").distinct())
     return labelled if more.isEmpty() else _labelled(nodes, sure.unionByName(more))
 
@@ -194,6 +195,7 @@ def _met(dealt: DataFrame, held: DataFrame, meet, radius: int, shape: str) -> Da
     return rows.repartition(partitions(held.sparkSession), *order).sortWithinPartitions(*order, "side").mapInArrow(meet, shape)
 
 
+LINK_ROW = ["node_u", "node_v", "size_u", "size_v", "sketch_u", "sketch_v"]
 BUCKET_ROW = ["mask", "key", "part", "side", "node", "fp", "size", "label", "shingles"]
 
 
@@ -228,6 +230,21 @@ def may_be_alike(some: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: int
     return shared >= least * (sizes + size - shared) - 1e-6
 
 
+def _able(least: float):
+    """u, v: the links whose sketches and sizes allow a similarity of least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (batch.slice(at, PAIR_ROWS) for batch in batches for at in range(0, batch.num_rows, PAIR_ROWS)):
+            ok = []
+            for m, n, x, y in zip(*(b.column(c).to_pylist() for c in LINK_ROW[2:])):
+                x, y = (np.frombuffer(z, np.uint64)[None] for z in (x, y))
+                near = min(m, n) >= least * max(m, n) - 1e-6  # or their Jaccard similarity is less
+                ok.append(near and bool(may_be_alike(x, np.array([m]), y, n, least)[0]))
+            yield pa.RecordBatch.from_arrays([b.column("node_u"), b.column("node_v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
 class Sketches:
     """The nodes kept of one part of a bucket, with their sketches, by the sketches' size."""
 
