@@ -10,7 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomgraph.llm import decontaminate, line_dedup, lm_scoring, secret_scan, sentencepiece_codec, simhash, top_k, toxicity
+from loomgraph.llm import decontaminate, line_dedup, lm_scoring, near_dedup_stage, secret_scan, sentencepiece_codec, simhash, top_k, toxicity
 from loomgraph.llm.common import chunks, runs, string_views, text_buffer
 from loomgraph.llm.cuckoo import CuckooFilter
 from loomgraph.llm.fm_index import FMIndex
@@ -373,3 +373,50 @@ def test_training_windows_are_the_texts():
     assert set(zip(b.token[follow].tolist(), b.target[follow].tolist())) <= pairs
     few = lm_scoring.chosen_windows(np.zeros(12_000, int), np.array([0, 12_000]), np.array([1]), every=10)[1]
     assert 60 < len(few) - 1 < 140
+
+
+def test_sketches_let_all_alike_sets_pass():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 5, 60, 146, 700, 5000):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for share in (0.5, 0.8, 0.88, 0.9, 1.0):
+            kept = a[rng.random(len(a)) < share]
+            b = np.unique(np.concatenate([kept, rng.integers(0, 2**64, int(n * (1 - share)), dtype=np.uint64)]))
+            x, y = (np.frombuffer(near_dedup_stage.sketch(s.tobytes()), np.uint64)[None] for s in (a, b))
+            told = [bool(near_dedup_stage.may_be_alike(p, np.array([m]), q, k, 0.8)[0]) for p, m, q, k in ((x, len(a), y, len(b)), (y, len(b), x, len(a)))]
+            alike = near_dedup_stage.jaccard(a.tobytes(), b.tobytes())
+            assert told[0] == told[1]
+            assert told[0] if alike >= 0.8 else n < 60 or alike > 0.7 or not told[0]
+
+
+def test_links_of_first_tables_join_what_all_pairs_join():
+    rng = np.random.default_rng(9)
+    tables = np.array([simhash.signed(m) for m in simhash.covering_masks(9, 2)])
+    base = rng.integers(-(2**62), 2**62, 3)
+    x = np.unique(np.concatenate([base, *(b ^ np.bitwise_xor.reduce(np.int64(1) << rng.integers(0, 62, (150, 5)), axis=1) for b in base)]))
+    close = {(i, j) for i in range(len(x)) for j in range(i) if (int(x[i] ^ x[j]) & (2**64 - 1)).bit_count() <= 9}
+    met, opened = set(), set()
+    for k, m in enumerate(tables):
+        s = x[np.lexsort((x, x & m))]
+        u, v, o = simhash.links(simhash.bucket_starts(s & m), s, 9, np.full(len(s), k), tables)
+        pairs = [tuple(sorted(p, reverse=True)) for p in zip(np.searchsorted(x, u).tolist(), np.searchsorted(x, v).tolist())]
+        assert not met & set(pairs) and len(set(pairs)) == len(pairs)  # each in one table only
+        met |= set(pairs)
+        opened |= set(np.searchsorted(x, o).tolist())
+    assert met <= close and len(met) < len(close)
+    assert all(i in opened and j in opened for i, j in close - met)
+
+    def groups(edges):
+        up = list(range(len(x)))
+
+        def root(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for i, j in edges:
+            a, b = sorted((root(i), root(j)))
+            up[b] = a
+        return [root(i) for i in range(len(x))]
+
+    assert groups(met) == groups(close)
