@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sweep
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each step writes a table of at most as many rows as there are edges to the shared folder. Minima are aggregated
     before the shuffle, and the joins have one side with a row per node, so that a node with very many neighbours can
-    be split; nothing is gathered but a count and two checksums.
+    be split; nothing is gathered but a count and two checksums. The shuffle files of a step go before the next one.
     """
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _digest(now)
@@ -31,6 +31,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         near = _nearest(large)
         small = large.join(near, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v")))
         now = cut(small.distinct())
+        del both, large, near, small
+        sweep(now.sparkSession)
         if (new := _digest(now)) == seen:
             break
         seen = new

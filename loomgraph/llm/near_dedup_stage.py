@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, cut, partitions, release
+from .common import CHUNK_BYTES, chunks, cut, partitions, release, sweep
 from .components import connected_components
 from .simhash import covering_masks, majority, near_links, shingle_hashes, signed, unmet
 
@@ -145,16 +145,20 @@ def near_components(nodes: DataFrame, docs: DataFrame, radius: int, similarity:
     head = lambda name: first.select(F.col("fp").alias(name), F.col("node").alias(f"node_{name}"), F.col("size").alias(f"size_{name}"), F.col("shingles").alias(f"sketch_{name}"))
     thin = near.join(head("u"), "u").join(head("v"), "v").select(*LINK_ROW)
     spokes = stars.select(F.col("node").alias("u"), F.col("head").alias("v")).join(side("node", "u"), "u").join(side("node", "v"), "v").select(*LINK_ROW)
+    sweep(nodes.sparkSession)
     able = cut(thin.unionByName(spokes).mapInArrow(_able(similarity), "u bigint, v bigint"))
     sure = _confirmed(able, sets, similarity)
     labelled = _labelled(nodes, sure)
+    sweep(nodes.sparkSession)
     several = cut(slim.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"))
     beside = [near.join(several.withColumnRenamed("fp", a), a, "left_semi").select(F.col(b).alias("fp")) for a, b in (("u", "v"), ("v", "u"))]
     untold = found.where("u = v").select(F.col("u").alias("fp")).union(several).union(beside[0]).union(beside[1]).distinct()
     members = cut(labelled.join(untold, "fp", "left_semi").select("node", "fp", "size", "label"))
     if members.isEmpty():
         return labelled
+    sweep(nodes.sparkSession)
     dealt = cut(_dealt(members, radius))
+    sweep(nodes.sparkSession)
     open_ = cut(_met(dealt, sketches, _may_meet(radius, similarity), radius, "mask bigint, node bigint"))
     if open_.isEmpty():
         return labelled
